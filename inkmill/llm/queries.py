@@ -1,9 +1,12 @@
 """Queries of the numbered problems: each takes (session, folder) and reads whole tables."""
 
+import importlib.util
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm import site_lines
+from inkmill.llm import bpe, canonical, leaks, site_lines
 from inkmill.sources.tables import table
 
 
@@ -22,4 +25,35 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_lines(scenes, cases).select(F.col("doc").alias("scene_row"), "text", "removed")
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean}
+def _looks(spark: SparkSession, d: str) -> DataFrame:
+    """Chapter titles and scene texts with the place within which versions compare."""
+    chapters = table(spark, d, "chapters").select(F.lit("chapters").alias("tab"), F.col("chapter_row").alias("row"), F.when(F.col("novel").isNotNull() & F.col("chapter_index").isNotNull(), F.struct("novel", "chapter_index", F.lit(-1).alias("p"))).alias("place"), F.col("title").alias("field"))
+    scenes = table(spark, d, "scenes").select(F.lit("scenes").alias("tab"), F.col("scene_row").alias("row"), F.when(F.col("novel").isNotNull() & F.col("chapter_index").isNotNull() & F.col("start_paragraph").isNotNull(), F.struct("novel", "chapter_index", F.col("start_paragraph").alias("p"))).alias("place"), F.col("text").alias("field"))
+    return chapters.unionByName(scenes)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.alike_pairs(_looks(spark, d).withColumn("place", F.xxhash64("place.novel", "place.chapter_index", "place.p")))
+
+
+def p3_form(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.with_form(_looks(spark, d).select("tab", "row", "field"), "field")
+
+
+def vocabulary_path() -> str:
+    """Rank file of byte_bpe_50k: the folder is ``INKMILL_TOKENIZERS``, else that of the installed vocabulary package."""
+    folder = os.environ.get("INKMILL_TOKENIZERS") or os.path.dirname(importlib.util.find_spec("public_tokenizers").origin)
+    return os.path.join(folder, "byte_bpe_50k.tiktoken")
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.with_ids(table(spark, d, "documents").select("doc_id", "text"), vocabulary_path())
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("item"), "text", "lang")
+    return leaks.leaks(documents, items).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_form": p3_form, "p6_ids": p6_ids, "p7_found": p7_found}
