@@ -17,7 +17,6 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -30,8 +29,6 @@ CONTROL_SPACE = [9, 10, 11, 12, 13, 0x85]
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 #: Slices kept in a worker's cache before it starts anew.
 CACHE_SLICES = 400_000
-#: Characters worked on at once.
-CHUNK_POINTS = 1 << 20
 
 
 @lru_cache(1)
@@ -241,20 +238,10 @@ class Encoder:
         return ids, np.concatenate([[0], ends])[before]
 
 
-def _chunks(column: pa.Array) -> Iterator[pa.Array]:
-    """Pieces of the column of a bounded size; a single long text is a piece of its own."""
-    sizes = np.concatenate([[0], np.cumsum(pc.binary_length(column.cast(pa.large_string())).fill_null(0).to_numpy(zero_copy_only=False))])
-    at = 0
-    while at < len(column):
-        end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + CHUNK_POINTS, "right")) - 1)
-        yield column.slice(at, end - at)
-        at = end
-
-
 def encode_array(column: pa.Array, encoder: Encoder) -> pa.Array:
     """List of ids of each text; null and empty texts have an empty list."""
     lists = []
-    for piece in _chunks(column):
+    for _, piece in codepoints.pieces(column):
         points, offsets, _ = codepoints.decode(piece)
         ids, at = encoder.encode(points, offsets)
         lists.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())))

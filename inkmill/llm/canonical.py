@@ -143,8 +143,12 @@ def canonical_points(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
 
 
 def canonical_array(column: pa.Array) -> pa.Array:
-    points, offsets, _ = codepoints.decode(column)
-    return codepoints.encode(*canonical_points(points, offsets), codepoints.is_null(column))
+    """The form of each text; null stays null."""
+    out = []
+    for _, piece in codepoints.pieces(column):
+        points, offsets, _ = codepoints.decode(piece)
+        out.append(codepoints.encode(*canonical_points(points, offsets), codepoints.is_null(piece)))
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
 
 def with_form(frame: DataFrame, text: str = "text", into: str = "form") -> DataFrame:

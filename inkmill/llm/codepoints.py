@@ -1,7 +1,13 @@
 """Texts of an Arrow column as one array of code points, and back, without a call per row."""
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes of text worked on at once; a longer single text is a piece of its own.
+PIECE_BYTES = 1 << 20
 
 
 def decode(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,3 +50,13 @@ def rows_of(offsets: np.ndarray) -> np.ndarray:
 def moved(offsets: np.ndarray, kept: np.ndarray) -> np.ndarray:
     """The offsets after each code point became ``kept`` of them (0 for a dropped one)."""
     return np.concatenate([[0], np.cumsum(kept, dtype=np.int64)])[offsets]
+
+
+def pieces(column: pa.Array, size: int = PIECE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """``(first row, piece)`` of the column, each of a bounded number of bytes or one row."""
+    sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + size, "right")) - 1)
+        yield at, column.slice(at, end - at)
+        at = end

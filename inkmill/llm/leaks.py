@@ -16,7 +16,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +32,6 @@ LONG_MASKS = [((0, 20),), ((0, 10), (11, 21)), ((0, 7), (8, 15), (16, 23))]
 #: Letters that must agree after a changed, missing or additional one.
 RESUME, RESUME_LONG = 5, 8
 BLOCK_LETTERS = 2_000_000
-CHUNK_BYTES = 2 << 20
 _B = 0x9E3779B97F4A7C15 | 1
 _FILTER_BITS = 21
 
@@ -240,13 +238,8 @@ def _scan(documents: DataFrame, block: Items) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = b.column("text")
-            sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
-            at = 0
-            while at < len(column):
-                end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + CHUNK_BYTES, "right")) - 1)
-                row, item = passages(*letters(column.slice(at, end - at)), sent.value)
+            for at, piece in codepoints.pieces(b.column("text")):
+                row, item = passages(*letters(piece), sent.value)
                 yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(row + at)), pa.array(sent.value.ids[item], pa.int64())], names=["doc", "item"])
-                at = end
 
     return documents.where("text is not null and text <> ''").select(F.col("doc").cast("bigint"), "text").mapInArrow(run, "doc bigint, item bigint")
