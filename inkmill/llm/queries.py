@@ -6,7 +6,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm import bpe, canonical, leaks, site_lines
+from inkmill.llm import bpe, canonical, leaks, neighbours, site_lines
 from inkmill.sources.tables import table
 
 
@@ -40,6 +40,11 @@ def p3_form(spark: SparkSession, d: str) -> DataFrame:
     return canonical.with_form(_looks(spark, d).select("tab", "row", "field"), "field")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    store = table(spark, d, "vector_store").select(F.col("vec_row").alias("row"), F.col("chunk_id").alias("chunk"), "embedding", F.col("stored_at").alias("at"))
+    return neighbours.neighbour_pairs(store)
+
+
 def vocabulary_path() -> str:
     """Rank file of byte_bpe_50k: the folder is ``INKMILL_TOKENIZERS``, else that of the installed vocabulary package."""
     folder = os.environ.get("INKMILL_TOKENIZERS") or os.path.dirname(importlib.util.find_spec("public_tokenizers").origin)
@@ -56,4 +61,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(documents, items).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_form": p3_form, "p6_ids": p6_ids, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_form": p3_form, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found}
