@@ -6,7 +6,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm import bpe, canonical, leaks, neighbours, site_lines
+from inkmill.llm import bpe, canonical, leaks, mojibake, neighbours, site_lines
 from inkmill.sources.tables import table
 
 
@@ -45,6 +45,21 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.neighbour_pairs(store)
 
 
+def _decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Scene texts and crawled titles; versions of one text share a place."""
+    place = F.xxhash64("novel", "chapter_index")
+    scenes = table(spark, d, "scenes").select(F.lit("scenes").alias("tab"), F.col("scene_row").alias("row"), F.xxhash64("novel", "chapter_index", "start_paragraph").alias("place"), "text")
+    return scenes.unionByName(table(spark, d, "crawl_chapters").select(F.lit("crawl_chapters").alias("tab"), F.col("crawl_id").alias("row"), place.alias("place"), F.col("title").alias("text")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(_decoded(spark, d)).select("tab", F.col("row").alias("row_id"))
+
+
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(_decoded(spark, d)).select("tab", F.col("row").alias("row_id"), "text", "spans", "whole")
+
+
 def vocabulary_path() -> str:
     """Rank file of byte_bpe_50k: the folder is ``INKMILL_TOKENIZERS``, else that of the installed vocabulary package."""
     folder = os.environ.get("INKMILL_TOKENIZERS") or os.path.dirname(importlib.util.find_spec("public_tokenizers").origin)
@@ -61,4 +76,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(documents, items).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_form": p3_form, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_form": p3_form, "p4_found": p4_found, "p5_found": p5_found, "p5_restored": p5_restored, "p6_ids": p6_ids, "p7_found": p7_found}
