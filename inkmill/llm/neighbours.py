@@ -174,8 +174,9 @@ def neighbours(store: DataFrame, k: int = 5, d: int = 64, sample: int = SAMPLE,
     total = indexed.count()
     if not total:
         return spark.createDataFrame([], "row bigint, near bigint, cosine double, rank int")
-    picked = indexed.where(F.pmod(F.xxhash64("row"), F.lit(max(1, total // sample))) == 0).orderBy(F.xxhash64("row")).limit(sample)
-    quantiser = fit(_units(picked.select("embedding").toArrow().column("embedding").combine_chunks(), d), min(MAX_CELLS, -(-total // cell)))
+    share = int(min(1.0, sample / total) * 1_000_000)
+    picked = indexed.where(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < share).select("row", "embedding").limit(2 * sample).toArrow().sort_by("row")
+    quantiser = fit(_units(picked.column("embedding").combine_chunks(), d), min(MAX_CELLS, -(-total // cell)))
     sent = spark.sparkContext.broadcast(quantiser)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
