@@ -26,8 +26,8 @@ from inkmill.llm.pii_labels import KINDS, examples
 from inkmill.llm.tagger import Tagger, best_paths, emissions, new_tagger, surely_outside, train
 
 SAMPLE_DOCUMENTS = 1500
-EXAMPLES = 12_000
-EPOCHS = 6
+EXAMPLES = 10_000
+EPOCHS = 7
 BATCH = 128
 #: Characters of a window, and how many two neighbours share; longer than any value with its surroundings.
 WINDOW, OVERLAP = 192, 56

@@ -6,7 +6,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm import bpe, canonical, leaks, mojibake, neighbours, site_lines
+from inkmill.llm import bpe, canonical, leaks, mojibake, neighbours, pii, site_lines
 from inkmill.sources.tables import table
 
 
@@ -71,9 +71,21 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    documents = _documents(spark, d)
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("item"), "text", "lang")
     return leaks.leaks(documents, items).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_form": p3_form, "p4_found": p4_found, "p5_found": p5_found, "p5_restored": p5_restored, "p6_ids": p6_ids, "p7_found": p7_found}
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_data(_documents(spark, d)).select(F.col("doc").alias("doc_id"), F.col("start_pos").cast("bigint").alias("start_pos"), F.col("end_pos").cast("bigint").alias("end_pos"), "kind")
+
+
+def p8_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.masked(_documents(spark, d)).select(F.col("doc").alias("doc_id"), "text", "values")
+
+
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_form": p3_form, "p4_found": p4_found, "p5_found": p5_found, "p5_restored": p5_restored, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_masked": p8_masked}

@@ -36,11 +36,6 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
-
-
 def gradients(m: Tagger, ids: np.ndarray, tags: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean negative log likelihood of a padded batch (B x T) and its gradients."""
     b, t = ids.shape
@@ -62,33 +57,39 @@ def gradients(m: Tagger, ids: np.ndarray, tags: np.ndarray, mask: np.ndarray) ->
         hs[k + 1] = g[..., 2 * h : 3 * h] * tc[k] * on
     state = np.concatenate([hs[1:, 0].transpose(1, 0, 2), hs[1:, 1][::-1].transpose(1, 0, 2)], 2)  # B x T x 2H
     emit = state @ m.out + m.out_bias
-    # CRF: forward and backward sums, and the score of the given tags.
+    # CRF: forward and backward sums as scaled probabilities, and the score of the given tags.
     k = emit.shape[2]
-    alpha, beta = np.zeros((t, b, k), np.float64), np.zeros((t, b, k), np.float64)
-    alpha[0] = m.first + emit[:, 0]
-    for i in range(1, t):
-        step = _logsum(alpha[i - 1][:, :, None] + m.change[None], 1) + emit[:, i]
-        alpha[i] = np.where(mask[:, i, None], step, alpha[i - 1])
-    total = _logsum(alpha[-1], 1)
+    top = emit.max(2, keepdims=True)
+    like = np.exp(emit - top)  # B x T x K
+    step = np.exp(m.change)
+    alpha, beta = np.zeros((t, b, k), np.float32), np.ones((t, b, k), np.float32)
+    total = np.zeros(b)
+    now = np.exp(m.first) * like[:, 0]
+    for i in range(t):
+        if i:
+            now = np.where(mask[:, i, None], (alpha[i - 1] @ step) * like[:, i], alpha[i - 1])
+        size = now.sum(1, keepdims=True)
+        alpha[i] = now / size
+        total += np.where(mask[:, i], np.log(size[:, 0]) + top[:, i, 0], 0)
     for i in range(t - 2, -1, -1):
-        step = _logsum((beta[i + 1] + emit[:, i + 1])[:, None, :] + m.change[None], 2)
-        beta[i] = np.where(mask[:, i + 1, None], step, 0)
-    marginal = np.exp(alpha + beta - total[None, :, None]).transpose(1, 0, 2) * mask[..., None]
+        now = (like[:, i + 1] * beta[i + 1]) @ step.T
+        beta[i] = np.where(mask[:, i + 1, None], now / now.sum(1, keepdims=True), 1)
+    marginal = alpha * beta
+    marginal = (marginal / marginal.sum(2, keepdims=True)).transpose(1, 0, 2) * mask[..., None]
     right = np.zeros_like(marginal)
     rows, cols = np.nonzero(mask)
     right[rows, cols, tags[rows, cols]] = 1
     d_emit = ((marginal - right) / b).astype(np.float32)
     d_first = (marginal[:, 0] - right[:, 0]).sum(0) / b
-    d_change = np.zeros((k, k))
-    score = (m.first[tags[:, 0]] + (emit * right).sum((1, 2))).astype(np.float64)
-    for i in range(1, t):
-        on = mask[:, i]
-        if on.any():
-            pair = np.exp(alpha[i - 1][on][:, :, None] + m.change[None] + (emit[on, i] + beta[i][on])[:, None, :] - total[on][:, None, None])
-            d_change += pair.sum(0)
-            np.add.at(d_change, (tags[on, i - 1], tags[on, i]), -1)
-            score[on] += m.change[tags[on, i - 1], tags[on, i]]
-    d = {"change": d_change / b, "first": d_first, "out_bias": d_emit.sum((0, 1)), "out": np.einsum("bth,btk->hk", state, d_emit)}
+    # Expected and given steps from tag to tag.
+    ahead = like.transpose(1, 0, 2)[1:] * beta[1:]
+    weight = ((alpha[:-1] @ step) * ahead).sum(2, keepdims=True)
+    ahead = np.where(mask.T[1:, :, None], ahead / np.maximum(weight, 1e-30), 0)
+    d_change = np.einsum("tbi,tbj->ij", alpha[:-1], ahead, optimize=True) * step
+    both_on = mask[:, 1:]
+    np.add.at(d_change, (tags[:, :-1][both_on], tags[:, 1:][both_on]), -1)
+    score = m.first[tags[:, 0]] + (emit * right).sum((1, 2)) + (m.change[tags[:, :-1], tags[:, 1:]] * both_on).sum(1)
+    d = {"change": d_change / b, "first": d_first, "out_bias": d_emit.sum((0, 1)), "out": state.reshape(b * t, -1).T @ d_emit.reshape(b * t, -1)}
     back = d_emit @ m.out.T
     dh_out = np.stack([back[..., :h].transpose(1, 0, 2), back[:, ::-1, h:].transpose(1, 0, 2)], 1)  # T x 2 x B x H
     dh, dc = np.zeros((2, b, h), np.float32), np.zeros((2, b, h), np.float32)
