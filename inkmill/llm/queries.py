@@ -6,7 +6,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm import bpe, canonical, leaks, mojibake, neighbours, pii, site_lines
+from inkmill.llm import bpe, canonical, leaks, mojibake, neighbours, pii, sentences, site_lines
 from inkmill.sources.tables import table
 
 
@@ -25,6 +25,16 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_lines(scenes, cases).select(F.col("doc").alias("scene_row"), "text", "removed")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    sample = table(spark, d, "sentence_sample").select(F.col("scene_row").alias("doc")).distinct()
+    scenes = table(spark, d, "scenes").select(F.col("scene_row").alias("doc"), "text").join(sample, "doc")
+    return sentences.split_sentences(scenes).select(F.col("doc").alias("scene_row"), "start_pos", "end_pos")
+
+
+def p2_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, d, "scenes").select(F.col("scene_row").alias("doc"), "text")).withColumnRenamed("doc", "scene_row")
+
+
 def _looks(spark: SparkSession, d: str) -> DataFrame:
     """Chapter titles and scene texts with the place within which versions compare."""
     chapters = table(spark, d, "chapters").select(F.lit("chapters").alias("tab"), F.col("chapter_row").alias("row"), F.when(F.col("novel").isNotNull() & F.col("chapter_index").isNotNull(), F.struct("novel", "chapter_index", F.lit(-1).alias("p"))).alias("place"), F.col("title").alias("field"))
@@ -88,4 +98,4 @@ def p8_masked(spark: SparkSession, d: str) -> DataFrame:
     return pii.masked(_documents(spark, d)).select(F.col("doc").alias("doc_id"), "text", "values")
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_form": p3_form, "p4_found": p4_found, "p5_found": p5_found, "p5_restored": p5_restored, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_masked": p8_masked}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_sentences": p2_sentences, "p3_found": p3_found, "p3_form": p3_form, "p4_found": p4_found, "p5_found": p5_found, "p5_restored": p5_restored, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_masked": p8_masked}
