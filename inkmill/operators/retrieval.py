@@ -1,6 +1,6 @@
 """From questions to scenes: understanding, hydration of hits."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that decide the kind of answer, by falling priority.
@@ -37,15 +37,18 @@ def plain_name(name: Column, anywhere: bool = True) -> Column:
     return F.regexp_replace(name, r"\.txt" if anywhere else r"\.txt$", "")
 
 
-def first_of_id(scenes: DataFrame) -> DataFrame:
-    """One scene per (novel, version, id): that with the smallest row."""
-    w = Window.partitionBy("novel", "version", "id").orderBy("scene_row")
-    return scenes.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+_KEY = ["novel", "version", "id"]
 
 
 def hydrate(hits: DataFrame, scenes: DataFrame) -> DataFrame:
-    """Hits (``novel, version, id`` and more) with the scene of that key; hits without one, or with a null key, drop out."""
-    return hits.join(first_of_id(scenes), ["novel", "version", "id"])
+    """Hits (``novel, version, id`` and more) with the scene of that key; hits without one, or with a null key, drop out.
+
+    Of several scenes with one key the one with the smallest ``scene_row`` (unique) counts. Rows are picked by their
+    keys alone, so the texts of all other scenes stay out of the shuffle.
+    """
+    asked = hits.select(*_KEY).distinct()
+    first = scenes.select(*_KEY, "scene_row").join(asked, _KEY, "left_semi").groupBy(*_KEY).agg(F.min("scene_row").alias("scene_row"))
+    return hits.join(first, _KEY).join(scenes.drop(*_KEY), "scene_row")
 
 
 def unhydrated(hits: DataFrame, scenes: DataFrame) -> DataFrame:
