@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from inkmill.llm import codepoints
+from inkmill.llm.canonical import LOOKALIKES
 
 # Full stop and question or exclamation marks of the scripts.
 MARKS = ".!?։؟۔܀܁܂߹।॥၊။።፧፨᙮᠃᠉⁇⁈⁉‼‽⸮。꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫︒﹒﹖﹗！．？｡"
@@ -33,11 +34,12 @@ TITLES = set(
 # Abbreviations that may close a sentence: over only if what follows begins one.
 OPEN_END = set("etc a.m p.m am pm usw u.s.w z.b d.h i.e e.g lb oz kg inc ltd co corp bros dept approx ib ibid etw ggf evtl bspw dgl ff т.е т.д т.п т.к и.т.д p.ej ej".split())
 _RUN = re.compile(f"[{re.escape(MARKS)}](?:[{re.escape(MARKS)}…])*")
+_LATIN = {ord(x.lower()): c.lower() for c, xs in LOOKALIKES.items() for x in xs if c.isascii() and c.isalpha()}
 _ELLIPSIS = re.compile(r"\.{2,}$|．{2,}$")
 _WORD = regex.compile(r"[\p{L}\p{M}.]*[\p{L}\p{M}]$")
 _HIDDEN = regex.compile(r"\p{Cf}")
 _KNOWN = regex.compile(r"[\p{L}\p{N}]")
-_THAI = re.compile(r"(?<=[ก-ฺเ-๎])[   -  　]+(?=[ก-ฺเ-๎])")
+_THAI = re.compile("(?<=[\u0e01-\u0e3a\u0e40-\u0e4e])[ \u00a0\u2000-\u200a\u202f\u205f\u3000]+(?=[\u0e01-\u0e3a\u0e40-\u0e4e])")
 _LISTED = re.compile(r"\s*[-*>#\s]*(?:\w{1,12}\s+)?[(（]?[0-9０-９]{1,4}$|\s*[-*>#\s]*[(（]?[A-Za-z]$|\s*[-*>#\s]*[(（]?[ivxIVX]{1,5}$")
 _MONTHS = regex.compile(r"\s*(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert|января|февраля|марта|апреля|мая|июня|июля|августа|сентября|октября|ноября|декабря)\b")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々〇]")
@@ -101,7 +103,10 @@ def _stop_ends(line: str, i: int, j: int) -> bool:
     word = _WORD.search(before)
     text = word[0] if word else ""
     low = text.lower().strip(".")
-    following = after.lstrip("      ")[:1]
+    alike = low.translate(_LATIN)  # an abbreviation may be written with letters that look like its own
+    if alike != low and (alike in TITLES or alike in OPEN_END):
+        low = alike
+    following = after.lstrip()[:1]
     tail = low.rsplit(".", 1)[-1]
     if low in OPEN_END or (tail in OPEN_END and "." in low):
         return following.isupper() or not following.isalnum() or bool(_CJK.match(following))
