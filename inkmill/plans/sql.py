@@ -138,3 +138,119 @@ select novel, regexp_replace(novel, '[\\/:*?"<>|]', '_', 'g') || '.txt' as file_
   string_agg(coalesce(title, '') || chr(10) || chr(10) || case when coalesce(success, false) then coalesce(content, '') else '[Download Failed]' end || chr(10) || chr(10), '' order by chapter_index nulls first) as text,
   count(*) as n_chapters, sum((not coalesce(success, false))::int)::bigint as n_failed from last group by novel""",
 }
+
+
+def _folded(base: str, absorb: bool, profile: str) -> str:
+    """Paragraphs with kind, chapter and the segment a recursive fold gives them."""
+    ingest = profile == "ingest"
+    title = f"regexp_matches(content, '{C.INGEST_TITLE}')" if ingest else _TITLE
+    types = "select doc_id, para_index, content, 'TEXT' as para_type from para" if ingest else "select * from typed"
+    anchor = "p.kind in ('HEADER', 'CODE_BLOCK')"
+    plain = "p.kind <> f.opened or f.size > 800"
+    full = f"""case when {anchor} then p.kind = 'HEADER' or p.para_type <> f.last_type
+      else (p.kind <> f.opened and not (f.last_kind in ('NARRATION', 'DIALOGUE') and ((f.opened = 'NARRATION' and p.kind = 'DIALOGUE' and f.last_size < 50) or (f.opened = 'DIALOGUE' and p.kind = 'NARRATION' and p.size < 50)))) or f.size > 800 end"""
+    return (
+        base.replace("with cut", "with recursive cut")
+        + f""", titled as (select *, {title} as is_title from ({types})),
+isle as (select *, sum(is_title::int) over (partition by doc_id order by para_index) as g from titled),
+chap as (select *, ({'g' if ingest else 'g + (min(g) over (partition by doc_id) = 0)::int'})::int as chapter_index from isle {'where g > 0' if ingest else ''}),
+named as (select doc_id, chapter_index, case when arg_min(is_title, para_index) then arg_min(content, para_index) else '{C.PREFACE}' end as chapter_title from chap group by all),
+p as (select doc_id, chapter_index, para_index, content, para_type, length(content) as size,
+  case when para_type in ('HEADER', 'CODE_BLOCK') then para_type when regexp_matches(content, '{P.SPEECH}') then 'DIALOGUE' else 'NARRATION' end as kind,
+  row_number() over (partition by doc_id, chapter_index order by para_index) as rn from chap where content <> ''),
+f as (
+  select doc_id, chapter_index, para_index, rn, kind as opened, size, kind as last_kind, para_type as last_type, size as last_size, 0 as segment from p where rn = 1
+  union all
+  select p.doc_id, p.chapter_index, p.para_index, p.rn, case when {full if absorb else plain} then p.kind else f.opened end, case when {full if absorb else plain} then p.size else f.size + p.size end,
+    p.kind, p.para_type, p.size, f.segment + ({full if absorb else plain})::int
+  from f join p on p.doc_id = f.doc_id and p.chapter_index = f.chapter_index and p.rn = f.rn + 1),
+seg as (select p.doc_id, p.chapter_index, f.segment, arg_min(p.kind, p.para_index) as seg_type, min(p.para_index) as start_para, max(p.para_index) as end_para, sum(p.size)::bigint as seg_len, count(*) as n_paras
+  from p join f using (doc_id, chapter_index, para_index) group by all)
+"""
+    )
+
+
+def _scene_sql(base: str, profile: str, version: str) -> str:
+    most = "(case when f2.code then 800 when f2.talk / f2.held > 0.5 then 1500 else 1200 end)"
+    cut = f"(f2.len >= {most})"
+    return (
+        _folded(base, True, profile)
+        + f""", f2 as (
+  select doc_id, chapter_index, segment, 0 as scene, seg_len as len, 1 as held, (seg_type = 'DIALOGUE')::int as talk, seg_type = 'CODE_BLOCK' as code from seg where segment = 0
+  union all
+  select s.doc_id, s.chapter_index, s.segment, f2.scene + {cut}::int, case when {cut} then 0 else f2.len end + s.seg_len, case when {cut} then 0 else f2.held end + 1,
+    case when {cut} then 0 else f2.talk end + (s.seg_type = 'DIALOGUE')::int, (case when {cut} then false else f2.code end) or s.seg_type = 'CODE_BLOCK'
+  from f2 join seg s on s.doc_id = f2.doc_id and s.chapter_index = f2.chapter_index and s.segment = f2.segment + 1),
+body as (select p.doc_id, p.chapter_index, f2.scene, min(p.para_index) as start_para, max(p.para_index) as end_para, string_agg(p.content, chr(10) order by p.para_index) || chr(10) as text
+  from p join f using (doc_id, chapter_index, para_index) join f2 using (doc_id, chapter_index, segment) group by all),
+talk as (select f2.doc_id, f2.chapter_index, f2.scene, 1 - sum((seg_type = 'DIALOGUE')::int)::double / count(*) as density_score from f2 join seg using (doc_id, chapter_index, segment) group by all),
+before as (select *, coalesce(lag(text) over (partition by doc_id, chapter_index order by scene), '') as t from body),
+scene as (select substr(sha256(doc_id || '|{version}|' || chapter_index || '|' || start_para), 1, 24) as id, doc_id, chapter_index, scene::int as scene, start_para, end_para, text, length(text)::int as word_count, length(text) > 1800 as can_split, density_score,
+  case when substr(text, length(text) - 1, 1) in ('。', '”', '！', '？', '.', '}}') then 1.0::double else 0.7::double end as quality_score,
+  regexp_replace(case when length(t) <= 200 then t else right(t, 200) end, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') as prefix_context, '{version}' as version, chapter_title
+  from before join talk using (doc_id, chapter_index, scene) join named using (doc_id, chapter_index))
+"""
+    )
+
+
+_SEGMENT = "select doc_id, chapter_index, segment, seg_type, start_para, end_para, seg_len, n_paras from seg"
+_BLOCKS = (
+    _HITS.replace("\nwith latest", "\nwith recursive latest")
+    + r""", o as (select *, novel || '|' || version as work, length(coalesce(text, '')) as size, row_number() over (partition by query order by chapter_index, start_paragraph, id) as rn from dedup),
+m as (
+  select query, rn, work, chapter_index, end_paragraph, size, 0 as g from o where rn = 1
+  union all
+  select o.query, o.rn, o.work, o.chapter_index, o.end_paragraph,
+    case when n.join then m.size + 7 + o.size else o.size end, m.g + (not n.join)::int
+  from m join o on o.query = m.query and o.rn = m.rn + 1,
+    lateral (select o.work = m.work and o.chapter_index = m.chapter_index and o.start_paragraph - m.end_paragraph between -5 and 2 and ceil(1.5::double * (m.size + 7 + o.size)) <= 900 as join) n),
+mg as (select o.query, m.g, any_value(o.question) as question, list({'s': o.start_paragraph, 'id': o.id, 'e': o.end_paragraph, 't': coalesce(o.text, '')} order by o.start_paragraph, o.id, o.end_paragraph, o.text) as x, min(o.chapter_index) as chapter_index,
+  min(o.chapter_title) as chapter_title, max(o.score) as score from o join m using (query, rn) group by o.query, m.g),
+merged as (select query, question, x[1].id as id, chapter_index, chapter_title, x[1].s as start_paragraph, x[-1].e as end_paragraph, array_to_string([p.t for p in x], chr(10) || chr(10) || '---' || chr(10) || chr(10)) as text,
+  case when len(x) > 1 then 'merged_scene' else 'scene' end as chunk_type, [p.id for p in x] as merged_ids, score from mg),
+c as (select *, ceil(length(text) * 1.5::double)::int as tokens, row_number() over (partition by query order by score desc, id, chapter_index, start_paragraph) as rn from merged),
+b as (
+  select query, rn, (tokens <= 3000) as take, case when tokens <= 3000 then tokens else 0 end as used, (tokens <= 3000)::int as taken from c where rn = 1
+  union all
+  select c.query, c.rn, n.fits, b.used + case when n.fits then c.tokens else 0 end, b.taken + n.fits::int from b join c on c.query = b.query and c.rn = b.rn + 1,
+    lateral (select b.taken < 5 and b.used + c.tokens <= 3000 as fits) n),
+block as (select c.*, row_number() over (partition by query order by rn)::int as rank from c join b using (query, rn) where b.take)
+"""
+)
+_IN_ORDER = "order by chapter_index, start_paragraph, id"
+_SHORT = lambda x, n: f"case when length({x}) > {n} then substr({x}, 1, {n}) || '...' else {x} end"
+_ANSWERED = (
+    _BLOCKS
+    + rf""", three as (select *, row_number() over (partition by query {_IN_ORDER}) as n from block qualify n <= 3),
+w1 as (select query, n, list_distinct(regexp_extract_all(text, '[A-Za-z一-龥]+')) as s, regexp_extract_all(text, '[A-Za-z一-龥]+') as a from three),
+w2 as (select query, n, [a[i] for i in range(1, len(a) + 1) if list_position(a, a[i]) = i] as u from w1),
+q1 as (select query, u as a, u[:5] as kept from w2 where n = 1),
+q2 as (select q1.query, list_concat(q1.kept, list_filter(coalesce(w2.u, []), lambda x: not list_contains(q1.kept, x))[:5]) as kept from q1 left join w2 on w2.query = q1.query and w2.n = 2),
+q3 as (select q2.query, list_concat(q2.kept, list_filter(coalesce(w2.u, []), lambda x: not list_contains(q2.kept, x))[:5]) as kept from q2 left join w2 on w2.query = q2.query and w2.n = 3),
+said as (select query, case when len(kept) > 0 then kept else ['relevant details', 'specific events'] end as w from q3),
+answered as (select t.query, 'Based on the analysis of ' || coalesce(w[1], 'the text') || ', it appears that ' || coalesce(w[2], 'the character') || ' plays a significant role regarding ''' || {_SHORT("any_value(t.question)", 20)}
+  || '''. The text mentions ' || coalesce(w[3], 'this entity') || ' in the context of ' || coalesce(arg_min(t.chapter_title, t.n), 'the chapter') || ', which directly addresses your query.' as answer, count(*)::int as n_citations,
+  round(least(0.6::double + count(*) * 0.1::double, 0.95::double), 6) as confidence from three t join said using (query) group by t.query, w)
+"""
+)
+ORACLES |= {
+    "segments": _folded(_TYPED, True, "split") + _SEGMENT,
+    "segments_base": _folded(_TYPED, False, "split") + _SEGMENT,
+    "scenes": _scene_sql(_TYPED, "split", "v1") + "select * from scene",
+    "scenes_ingest": _scene_sql(_INGEST, "ingest", "v1-ingestion") + "select * from scene",
+    "scene_limit": _scene_sql(_TYPED, "split", "v1") + "select doc_id, chapter_index, scene, start_para, end_para from scene qualify row_number() over (partition by doc_id order by chapter_index, start_para) <= 3",
+    "merge_adjacent": _BLOCKS + "select query, id, chapter_index, start_paragraph, end_paragraph, chunk_type, merged_ids, length(text)::int as n_chars from merged",
+    "context_blocks": _BLOCKS + "select query, rank, id, chapter_index, start_paragraph, tokens, round(score, 6) as score from block",
+    "context_full_text": _BLOCKS + f"select query, string_agg('[' || id || '] ' || text || chr(10), '' {_IN_ORDER}) as context, sum(tokens)::bigint as total_tokens, count(*) as n_blocks from block group by query",
+    "context_stats": _BLOCKS
+    + """, h as (select query, count(*) as original, count(distinct coalesce(id, chapter_index || '_' || start_paragraph)) as deduplicated from hits group by query),
+k as (select query, sum(len(merged_ids))::bigint as n from block group by query)
+select h.query, original, deduplicated, coalesce(n, 0) as final, deduplicated - coalesce(n, 0) as dropped from h left join k using (query)""",
+    "prompt_text": _BLOCKS
+    + f""", n as (select *, row_number() over (partition by query {_IN_ORDER}) as i from block)
+select query, any_value(question) as question, '=== System Instruction ===' || chr(10) || 'Answer only from the context.' || chr(10) || chr(10) || '=== Context ===' || chr(10)
+  || string_agg('[Block ' || i || ' - ' || id || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by i) || chr(10) || chr(10) || '=== User Question ===' || chr(10) || any_value(question) as prompt from n group by query""",
+    "mock_answers": _ANSWERED + "select query, answer, n_citations, confidence from answered",
+    "answer_parse": _ANSWERED + "select query, answer, n_citations, confidence from answered",
+    "citation_check": _ANSWERED + "select query, (n - 1)::int as n, id, round(score, 6) as score from three where id is not null",
+}
