@@ -26,7 +26,7 @@ Prize winners: {person} and {person}.|Thanks to {person} for the map.|Please cal
 NEGATIVE = """版本 {n}.{nn}.{nn}，校验码 {d4}-{d4}-{d4}。|服务器 192.0.2.{nn} 今晚维护。|@夜读人 楼上说得对。|他报了个数：{d6}，又改口说{d4}。|书友群号 {d9}，进群请看公告。|订单号 {d17}已发货。|页面地址 http://{site}/b/{d8} 已失效。
 这是第{d11}次轮回，石门依旧未开。|書籍コード {d9}。|Auflage {d4}, Bestellnr. {d9}.|本书书号 {d13}，印数{d4}册。|Тираж {d4} экз., заказ № {d9}.|Say hello to @night_reader below.|Order no. {d13} has shipped.|Build {n}.{nn}.{d4} of the reader app.
 ISBN 978-0-00-{d6}-{n}, print run {d4}.|Chapter {nn}, page 0{d3}.|收到一封写着“Mr. {latin} 亲启”的信。|Dr. {latin} and Mrs. {latin} traded two maps.|更新时间：20{n}{n}-0{n}-1{n} 21:{nn}|最終更新 20{n}{n}/{n}/2{n}|在 No.{nn} 号铺位旁停下。|已有{d3}人投出推荐票
-第{nn}章 客栈（上）|А. Б. {cyr} с ул. Мельничной нашёл карту.|В {d3} г. {cyr}, т. е. сын мельника, нашёл ключ.|约莫{n}.{n}斤，比昨日多出{nn}.{n}%。|钟敲过{n}:{nn}，他们走了。|Version {n}.{n}.{n}, checksum {d4}-{d4}-{d4}.|Serien-Nr. {d9}, Los {d4}.|群号：{d9}|快递单号：{d13}"""
+第{nn}章 客栈（上）|А. Б. {cyr} с ул. Мельничной нашёл карту.|В {d3} г. {cyr}, т. е. сын мельника, нашёл ключ.|约莫{n}.{n}斤，比昨日多出{nn}.{n}%。|钟敲过{n}:{nn}，他们走了。|Version {n}.{n}.{n}, checksum {d4}-{d4}-{d4}.|Serien-Nr. {d9}, Los {d4}.|群号：{d9}|快递单号：{d13}|哈哈哈哈哈哈哈哈哈哈哈哈哈哈哈哈哈哈哈哈哈哈哈哈哈哈|啊啊啊啊啊啊啊啊啊啊啊啊|The last page, names {latin}.|{latin} went to {latin} about two maps.|{latin} followed {latin} from {latin} Gate to {latin} Bridge.|{latin} trug das Bündel zu {latin}."""
 # Family names and characters of given names.
 SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦傅方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤荆盛郁桑庄游晏骆温阮闻仇狄简"
 COMPOUND = "司徒 欧阳 令狐 夏侯 上官 诸葛 东方 皇甫 尉迟 公孙 慕容 长孙 宇文 司马".split()
@@ -43,6 +43,7 @@ class Values:
         self.rng = rng
         words = lambda pattern: sorted({w for x in corpus for w in re.findall(pattern, x)})[:2000] or ["Alva"]
         # A name of the story may be a reader's as well: what is around it decides.
+        self.follow = {"latin": _followers(corpus, r"[a-zà-ÿ]{3,}"), "ru": _followers(corpus, r"[а-яё]{3,}")}
         self.story = {"latin": words(r"\b[A-ZÀ-Þ][a-zà-ÿ]{3,}\b"), "ru": words(r"\b[А-Я][а-я]{3,}\b"), "zh": words(r"[\u4e00-\u9fff]{2}")}
 
     def pick(self, xs):
@@ -60,12 +61,30 @@ class Values:
     def wide(self, s: str, p: float = 0.12) -> str:
         return "".join(chr(ord(c) + 0xFEE0) if c.isdigit() or c in "-－" else c for c in s) if self.chance(p) else s
 
+    def word(self, script: str) -> str:
+        """A new word whose letters follow each other as in the corpus."""
+        follow = self.follow[script]
+        heads = follow.get("", [])
+        if not heads:
+            return ""
+        out = self.pick(heads)
+        for _ in range(int(self.rng.integers(2, 9))):
+            nexts = follow.get(out[-2:])
+            if not nexts:
+                break
+            out += self.pick(nexts)
+        return out.capitalize()
+
     def latin(self) -> str:
+        if self.chance(0.65) and (w := self.word("latin")):
+            return w + (self.word("latin").lower() if self.chance(0.2) else "")
         a = [self.pick("B C D F G H K L M N P R S T V W Th Br St Cr Ph Ott Liv".split()) + self.pick("a e i o u ar er or an el in ia".split())]
         a += [self.pick("b d l m n r s t v g st nd ll rk".split()) + self.pick("a e i o u a en er in on ard ette wick ham ley feather stein wald loh mond".split()) for _ in range(int(self.rng.integers(1, 3)))]
         return "".join(a).capitalize()
 
     def cyrillic(self) -> str:
+        if self.chance(0.6) and (w := self.word("ru")):
+            return w
         return "".join(self.pick("б в г д ж з к л м н п р с т ст тр вл сн др пл кр зн стр хв ч ш щ х".split()) + self.pick("а е и о у я ю ы".split()) + self.pick(["", "", "", "р", "л", "н", "т", "х", "м"]) for _ in range(int(self.rng.integers(2, 4)))).capitalize()
 
     def han(self, n: int) -> str:
@@ -145,6 +164,16 @@ class Values:
         return s + self.pick(["", f", {self.latin()}", f", {self.latin()}, QX {self.digits(5)}", f", Flat {n(9)}", f", Apt {n(99)}", f", {self.latin()}, {self.pick('ABCDXQ')}{self.pick('ABCDXQ')} {self.digits(5)}"])
 
 
+def _followers(corpus: list[str], pattern: str) -> dict[str, list[str]]:
+    """Letters after each two letters of the words of the corpus, and under an empty key how words begin."""
+    out: dict[str, list[str]] = {"": []}
+    for w in sorted({w.lower() for x in corpus for w in re.findall(pattern, x.lower())})[:4000]:
+        out[""].append(w[:2])
+        for i in range(len(w) - 2):
+            out.setdefault(w[i : i + 2], []).append(w[i + 2])
+    return out
+
+
 def _fill(sentence: str, lang: str, v: Values) -> tuple[str, list[tuple[int, int, int]]]:
     text, spans = "", []
     for part in re.split(r"(\{\w+\})", sentence):
@@ -187,7 +216,7 @@ def examples(n: int, corpus_lines: list[str], seed: int = 11) -> list[tuple[str,
     rng = np.random.default_rng(seed)
     v = Values(rng, corpus_lines)
     positive = [(lang, s) for lang, xs in POSITIVE.items() for s in re.split(r"[|\n]", xs)]
-    weight = np.array([{"zh": 1.0, "ru": 2.2, "ja": 1.6}.get(lang, 1.2) for lang, _ in positive])
+    weight = np.array([{"zh": 1.0, "ru": 2.2, "ja": 2.2}.get(lang, 1.5) for lang, _ in positive])
     negative = re.split(r"[|\n]", NEGATIVE)
     hidden = cues()
     plain = [x for x in corpus_lines if x.strip() and not hidden.search(x)]

@@ -156,32 +156,40 @@ def emissions(m: Tagger, points: np.ndarray, start: np.ndarray, size: np.ndarray
     start, size = start[order], size[order]
     begin = (np.cumsum(size) - size).astype(np.int64)
     table = m.embed @ m.into + m.bias  # 2 x rows x 4H: what a character adds to the gates
-    # sigmoid(x) = (tanh(x / 2) + 1) / 2, so one tanh serves all gates
+    # sigmoid(x) = (tanh(x / 2) + 1) / 2: one tanh serves all gates, and the halves go into the weights. Every gate has
+    # an array of its own, so that all steps run over contiguous memory.
     half = np.ones(4 * h, np.float32)
     half[: 3 * h] = 0.5
-    table, again = (table * half).astype(np.float32), (m.again * half).astype(np.float32)
+    by_gate = lambda x: np.ascontiguousarray(x.reshape(2, -1, 4, h).transpose(0, 2, 1, 3), np.float32)
+    table, again = by_gate(table * half), by_gate(m.again * half * 0.5)
     ids = m.vocabulary[points]
     total = int(size.sum())
     state = np.empty((total, 2 * h), np.float32)
+    # Buffers are made once: arrays of this size would come from the system anew each step.
+    gate, extra = np.empty((4, len(size), h), np.float32), np.empty((len(size), h), np.float32)
     for way in (0, 1):
         hs, cs = np.zeros((len(size), h), np.float32), np.zeros((len(size), h), np.float32)
         n = len(size)
         for k in range(int(size[0]) if len(size) else 0):
             while size[n - 1] <= k:
                 n -= 1
-            off = np.full(n, k) if way == 0 else size[:n] - 1 - k
-            g = table[way][ids[start[:n] + off]]
-            g += hs[:n] @ again[way]
-            np.tanh(g, out=g)
-            g[:, : 3 * h] *= 0.5
-            g[:, : 3 * h] += 0.5
-            c = cs[:n]
-            c *= g[:, h : 2 * h]
-            c += g[:, :h] * g[:, 3 * h :]
-            np.tanh(c, out=hs[:n])
-            hs[:n] *= g[:, 2 * h : 3 * h]
-            state[begin[:n] + off, way * h : (way + 1) * h] = hs[:n]
-    emit = state @ m.out + m.out_bias
+            off = k if way == 0 else size[:n] - 1 - k
+            char, x, hn, c = ids[start[:n] + off], extra[:n], hs[:n], cs[:n]
+            enter, forget, leave, fresh = (gate[i, :n] for i in range(4))
+            for i, g in enumerate((enter, forget, leave, fresh)):
+                np.take(table[way, i], char, axis=0, out=g, mode="clip")
+                g += np.matmul(hn, again[way, i], out=x)
+                np.tanh(g, out=g)
+            # c = (c (forget + 1) + fresh (enter + 1)) / 2 and twice h = tanh(c) (leave + 1)
+            forget += 1
+            c *= forget
+            enter += 1
+            c += np.multiply(enter, fresh, out=x)
+            c *= 0.5
+            leave += 1
+            np.multiply(np.tanh(c, out=x), leave, out=hn)
+            state[begin[:n] + off, way * h : (way + 1) * h] = hn
+    emit = state @ (m.out * 0.5) + m.out_bias
     # Back into the order the windows were given in.
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
@@ -189,12 +197,15 @@ def emissions(m: Tagger, points: np.ndarray, start: np.ndarray, size: np.ndarray
     return emit[take]
 
 
-def best_paths(m: Tagger, emit: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Tags of the best path of every window, one after the other; windows run side by side, longest first."""
+def best_paths(m: Tagger, emit: np.ndarray, begin: np.ndarray, size: np.ndarray, opens: np.ndarray, closes: np.ndarray) -> np.ndarray:
+    """Tags of the best path of every stretch ``[begin, begin + size)``, 0 elsewhere; they run side by side, longest first.
+
+    ``opens`` and ``closes`` say which stretches begin and end their window; before and after the others is tag 0.
+    """
     order = np.argsort(-size, kind="stable")
-    at, size = begin[order], size[order]
+    at, size, closes = begin[order], size[order], closes[order]
     tags = m.change.shape[0]
-    score = m.first + emit[at]
+    score = np.where(opens[order][:, None], m.first, m.change[0]) + emit[at]
     back = np.zeros((int(size[0]), len(size), tags), np.int8)
     n = len(size)
     for i in range(1, int(size[0])):
@@ -203,7 +214,7 @@ def best_paths(m: Tagger, emit: np.ndarray, begin: np.ndarray, size: np.ndarray)
         both = score[:n, :, None] + m.change
         back[i, :n] = both.argmax(1)
         score[:n] = both.max(1) + emit[at[:n] + i]
-    tag = score.argmax(1)
+    tag = (score + np.where(closes[:, None], 0, m.change[:, 0])).argmax(1)
     path = np.zeros(len(emit), np.int8)
     for i in range(int(size[0]) - 1, -1, -1):
         n = int(np.searchsorted(-size, -i, "left"))
@@ -212,10 +223,19 @@ def best_paths(m: Tagger, emit: np.ndarray, begin: np.ndarray, size: np.ndarray)
     return path
 
 
-def surely_outside(m: Tagger, emit: np.ndarray) -> np.ndarray:
-    """True where no tag but 0 can be on a best path: entering it, with the best step into it and out again, loses."""
-    enter = np.maximum(m.change.max(0), m.first) - m.change[0, 0]
+def undecided(m: Tagger, emit: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of windows that a best path may tag other than 0.
+
+    A stretch of other tags is on a best path only if it gains on tag 0. ``gain`` bounds what a position adds, with the
+    best step into its tag and the best step out again, so a position matters only if some stretch around it has a
+    positive sum: the largest running sum from it on, less the smallest before it.
+    """
+    enter = np.maximum(m.change.max(0), m.first) - min(m.change[0, 0], m.first[0])
     leave = max(0.0, float((m.change[1:, 0] - m.change[0, 0]).max()))
-    first = float((m.first[1:] - m.first[0]).max() - (m.first[1:] - m.change[0, 0]).max())
-    gain = (emit[:, 1:] + (enter[1:] + leave + max(0.0, first)).astype(np.float32)).max(1)
-    return gain < emit[:, 0]
+    gain = (emit[:, 1:] + (enter[1:] + leave).astype(np.float32)).max(1).astype(np.float64) - emit[:, 0]
+    total = np.cumsum(gain)
+    # Windows are put far below each other, so that running extremes stay within a window.
+    apart = np.repeat(np.arange(len(size)), size) * (2 * np.abs(total).max() + 1 if len(total) else 0)
+    low = np.minimum.accumulate(total - gain - apart)
+    high = np.maximum.accumulate((total - apart)[::-1])[::-1]
+    return np.flatnonzero(high > low)
