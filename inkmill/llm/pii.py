@@ -37,7 +37,7 @@ EXAMPLE_LENGTH = 144
 MIN_COUNT = 4
 #: Share of characters that stand for their class in training, so that unseen ones are met.
 DROP = 0.12
-PIECE = 1 << 17
+PIECE = 1 << 18
 TAGS = 1 + 2 * len(KINDS)
 _CLASSES = ["pad", "newline", "space", "digit", "lower", "upper", "cyrillic lower", "cyrillic upper", "greek", "han", "hiragana", "katakana", "hangul", "thai", "letter", "mark", "dash", "open", "close", "quote", "dot", "symbol", "other"]
 
