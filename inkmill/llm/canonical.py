@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkmill.llm import codepoints
+from inkmill.sources.tables import materialise
 
 # Letters and signs of other scripts that look like these (public confusables data).
 LOOKALIKES = {
@@ -166,17 +167,21 @@ def with_form(frame: DataFrame, text: str = "text", into: str = "form") -> DataF
 def alike_pairs(frame: DataFrame) -> DataFrame:
     """``(tab, row_a, row_b)``: rows of one group whose fields differ but have the same form.
 
-    ``frame`` has ``tab, row, place, field``; rows with a null ``place`` or a null or empty field are no case. Only
-    hashes are shuffled. Within one (place, form) rows with equal fields are one class; classes pair up and then
-    list their rows, as the result names every pair of rows.
+    ``frame`` has ``tab, row, place, field``; rows with a null ``place`` or a null or empty field are no case; repeated
+    rows count once. Only hashes are written and shuffled. Rows of one place, form and field are one class. Classes of
+    one form pair up first, and only those that have a partner are joined with their rows, so no group is gathered in
+    one task, however many copies it has.
     """
-    hashed = with_form(frame.where("place is not null and field is not null and field <> ''").select("tab", "row", "place", "field"), "field").select(
-        "tab", "row", "place", F.xxhash64("field").alias("f"), F.hash("field").alias("f2"), F.xxhash64("form").alias("k"), F.hash("form").alias("k2")
+    hashed = materialise(
+        with_form(frame.where("place is not null and field is not null and field <> ''").select("tab", "row", "place", "field"), "field")
+        .select("tab", "row", "place", F.xxhash64("form").alias("k"), F.hash("form").alias("k2"), F.xxhash64("field").alias("f"), F.hash("field").alias("f2"))
+        .distinct(),
+        "forms",
     )
-    key = ["tab", "place", "k", "k2"]
-    classes = hashed.groupBy(*key, "f", "f2").agg(F.collect_set("row").alias("rows"))
-    several = classes.groupBy(*key).agg(F.collect_list("rows").alias("classes")).where(F.size("classes") > 1)
-    a = several.select("tab", F.posexplode("classes").alias("i", "mine"), "classes")
-    b = a.select("tab", "mine", F.explode(F.slice("classes", F.col("i") + 2, F.greatest(F.size("classes") - F.col("i") - 1, F.lit(0)))).alias("other"))
-    pairs = b.select("tab", F.explode("mine").alias("x"), "other").select("tab", "x", F.explode("other").alias("y"))
-    return pairs.select("tab", F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b")).distinct()
+    form = ["tab", "place", "k", "k2"]
+    classes = hashed.select(*form, F.struct("f", "f2").alias("c")).distinct()
+    several = classes.join(classes.groupBy(*form).count().where("count > 1").drop("count"), form, "left_semi")
+    pairs = several.withColumnRenamed("c", "a").join(several.withColumnRenamed("c", "b"), form).where("a < b")
+    rows = hashed.select(*form, F.struct("f", "f2").alias("c"), "row")
+    both = pairs.join(rows.withColumnRenamed("c", "a").withColumnRenamed("row", "x"), [*form, "a"]).join(rows.withColumnRenamed("c", "b").withColumnRenamed("row", "y"), [*form, "b"])
+    return both.select("tab", F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b")).distinct()
