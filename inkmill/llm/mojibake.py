@@ -1,17 +1,18 @@
 """Text that was decoded with the wrong character encoding (problem 5).
 
-Method. (1) Frequencies of all characters of the corpus are counted. (2) In a bounded sample of the records, spans
-that some pair of encodings (written in one, read in another) could have garbled are looked for; the records are joined
+Method. (1) Frequencies of all characters of the corpus are counted. (2) In all records, spans that some pair of
+encodings (written in one, read in another) could have garbled are looked for; the records with such spans are joined
 with near-twins, records of the same place whose text is equal once all non-ASCII characters are left out, and the
 differing parts of garbled and clean twin are aligned and say which pairs map one to the other. Spans that become
-clearly more frequent text give the same evidence where a pair has no twin in the sample. (3) The learned pairs are
-undone in all records: a span counts as garbled if its bytes are well-formed in the encoding it was written in and
+clearly more frequent text give the same evidence where a pair has no twin. (3) The learned pairs are undone in the
+records of (2): a span counts as garbled if its bytes are well-formed in the encoding it was written in and
 make clearly more frequent text, and it is replaced by that, again while anything is found, for text garbled twice.
 Replacement characters and C1 controls mark text that cannot be recovered.
 
 Spans are found over whole batches of code points: per pair a few gathers give bytes or mapped characters and running
-sums say where they are well-formed or gain. ``sample`` bounds what pairs are learned from; counting and repair cover
-all rows. Only the character table (bounded by the number of code points) and the list of pairs are broadcast.
+sums say where they are well-formed or gain. A record that some learned pair garbled has spans of a possible pair, so
+the records written in (2) are all that (3) has to read. Only the character table (bounded by the number of code points)
+and the list of pairs are broadcast.
 """
 
 import re
@@ -41,7 +42,6 @@ GAIN_FORM = 0.5
 KNOWN = -12.5
 #: Different spans of three characters (longer ones count twice) that a pair must explain to be learned.
 MIN_SUPPORT = 3
-SAMPLE = 20_000
 ROUNDS = 3
 _LOST = "�"
 
@@ -338,19 +338,24 @@ class Repairer:
                 spans.append((r, i - int(offsets[r]), j - int(offsets[r]), fixed, pair))
         return sorted(spans, key=lambda x: x[:2])
 
-    def repair(self, text: str, spans: list[tuple[int, int, int, str, tuple[str, str]]]) -> str:
-        """``text`` with its spans restored, then whatever is garbled in the result."""
+    def repair(self, texts: list[str], spans: list[list[tuple[int, int, int, str, tuple[str, str]]]]) -> list[str]:
+        """``texts`` with their spans restored, then whatever is garbled in the results; the texts of a round are searched at once."""
+        texts, left = list(texts), {k: x for k, x in enumerate(spans) if x}
         for _ in range(ROUNDS):
-            out, done = [], 0
-            for _, i, j, fixed, _ in spans:
-                out += [text[done:i], fixed]
-                done = j
-            text = "".join([*out, text[done:]])
-            points, offsets, _ = codepoints.decode(pa.array([text]))
-            spans = self.find(points, offsets)
-            if not spans:
+            if not left:
                 break
-        return text
+            for k, own in left.items():
+                out, done = [], 0
+                for _, i, j, fixed, _ in own:
+                    out += [texts[k][done:i], fixed]
+                    done = j
+                texts[k] = "".join([*out, texts[k][done:]])
+            at = list(left)
+            points, offsets, _ = codepoints.decode(pa.array([texts[k] for k in at], pa.string()))
+            left = {}
+            for x in self.find(points, offsets):
+                left.setdefault(at[x[0]], []).append(x)
+        return texts
 
 
 def _within(sizes: np.ndarray) -> np.ndarray:
@@ -420,25 +425,27 @@ def _evidence(text: str, spans: list) -> list[dict[str, str]]:
     return [{"pair": "|".join(main), "span": text[i:j]} for _, i, j, _, pair in spans if pair == main and j - i >= 3]
 
 
-def learn(records: DataFrame, log_share: np.ndarray, sample: int = SAMPLE, min_support: int = MIN_SUPPORT) -> list[tuple[str, str]]:
-    """Pairs of encodings with enough support, from twins and from spans that explain themselves."""
-    every = possible_pairs()
-    sent = records.sparkSession.sparkContext.broadcast((log_share, every))
+def suspects(records: DataFrame, log_share: np.ndarray) -> DataFrame:
+    """``(tab, row, place, text, own)``: all records with spans of any possible pair, or with lost characters, and their evidence."""
+    sent = records.sparkSession.sparkContext.broadcast((log_share, possible_pairs()))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, found in _spans_of(batches, Repairer(*sent.value)):
+        fixer = Repairer(*sent.value)
+        for b, found in _spans_of(batches, fixer):
             rows = sorted(found)
             own = [_evidence(t, found[i]) for i, t in zip(rows, b.column("text").take(pa.array(rows, pa.int64())).to_pylist())]
             yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(rows, pa.int64())) for c in ("tab", "row", "place", "text")], pa.array(own, pa.list_(pa.struct([("pair", pa.string()), ("span", pa.string())])))], names=["tab", "row", "place", "text", "own"])
 
-    share = int(min(1.0, sample / max(1, records.count())) * 1_000_000)
-    part = records.where(F.pmod(F.xxhash64("tab", "row"), F.lit(1_000_000)) < share)
-    garbled = materialise(part.mapInArrow(spans, "tab string, row bigint, place bigint, text string, own array<struct<pair: string, span: string>>"), "garbled-sample")
+    return materialise(records.mapInArrow(spans, "tab string, row bigint, place bigint, text string, own array<struct<pair: string, span: string>>"), "garbled-suspects")
+
+
+def learn(records: DataFrame, garbled: DataFrame, min_support: int = MIN_SUPPORT) -> list[tuple[str, str]]:
+    """Pairs of encodings with enough support, from twins and from spans that explain themselves; ``garbled`` are the suspects of ``records``."""
     bare = F.xxhash64(F.regexp_replace("text", r"[^\x21-\x7e]", "")).alias("bare")
     keys = garbled.where("place is not null").select("tab", "row", "place", bare, F.col("text").alias("garbled"))
-    # The keys are at most ``sample`` rows, so they may be broadcast; only rows with such a key are looked at further.
-    near = records.where("place is not null").select("tab", "row", "place", bare, "text").join(F.broadcast(keys.select("place", "bare").distinct()), ["place", "bare"], "left_semi")
-    clean = near.join(F.broadcast(keys.select("tab", "row")), ["tab", "row"], "left_anti").groupBy("place", "bare").agg(F.min("text").alias("clean"))
+    # The keys grow with the input, so the planner chooses the joins by their size.
+    near = records.where("place is not null").select("tab", "row", "place", bare, "text").join(keys.select("place", "bare").distinct(), ["place", "bare"], "left_semi")
+    clean = near.join(keys.select("tab", "row"), ["tab", "row"], "left_anti").groupBy("place", "bare").agg(F.min("text").alias("clean"))
     twins = keys.join(clean, ["place", "bare"]).select("garbled", "clean")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,7 +458,7 @@ def learn(records: DataFrame, log_share: np.ndarray, sample: int = SAMPLE, min_s
     return [tuple(r.pair.split("|")) for r in sorted(support.collect(), key=lambda r: (-r.n, r.pair))]
 
 
-def garbled(records: DataFrame, sample: int = SAMPLE, min_support: int = MIN_SUPPORT) -> DataFrame:
+def garbled(records: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
     """``(tab, row, text, spans, whole)``: records with wrongly decoded characters, their restored text, how many spans
     were restored at first and whether nothing is left that cannot be.
 
@@ -461,16 +468,17 @@ def garbled(records: DataFrame, sample: int = SAMPLE, min_support: int = MIN_SUP
     """
     records = records.where("text is not null and text <> ''").select("tab", "row", "place", "text")
     log_share = log_shares(character_counts(records))
-    sent = records.sparkSession.sparkContext.broadcast((log_share, learn(records, log_share, sample, min_support)))
+    found = suspects(records, log_share)
+    sent = records.sparkSession.sparkContext.broadcast((log_share, learn(records, found, min_support)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fixer = Repairer(*sent.value)
         for b, found in _spans_of(batches, fixer):
             rows = sorted(found)
-            texts = [fixer.repair(t, found[i]) for i, t in zip(rows, b.column("text").take(pa.array(rows, pa.int64())).to_pylist())]
+            texts = fixer.repair(b.column("text").take(pa.array(rows, pa.int64())).to_pylist(), [found[i] for i in rows])
             yield pa.RecordBatch.from_arrays(
                 [b.column("tab").take(pa.array(rows, pa.int64())), b.column("row").take(pa.array(rows, pa.int64())), pa.array(texts, pa.string()), pa.array([len(found[i]) for i in rows], pa.int32()), pa.array([not _MARKS.search(t) for t in texts], pa.bool_())],
                 names=["tab", "row", "text", "spans", "whole"],
             )
 
-    return records.mapInArrow(run, "tab string, row bigint, text string, spans int, whole boolean")
+    return found.select("tab", "row", "text").mapInArrow(run, "tab string, row bigint, text string, spans int, whole boolean")

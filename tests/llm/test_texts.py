@@ -145,3 +145,13 @@ def test_explaining_a_pair():
     assert ("utf-8", "cp1252") in mojibake.explain(mojibake.misread(clean, "utf-8", "cp1252"), clean)
     assert mojibake.explain("abc", "abd") == []
     assert mojibake.undo("CafÃ©", "utf-8", "cp1252") == ("Café", 0)
+
+
+def test_a_rare_pair_is_learned_from_all_records(spark):
+    rng = random.Random(9)
+    words = ["夜深了", "他推开门", "雨停的时候", "远处的灯", "一盏一盏灭了", "没有人说话", "青石板路", "风里轻轻作响"]
+    make = lambda n: "，".join(rng.choice(words) for _ in range(n)) + "。"
+    rows = [("s", i, None, make(2)) for i in range(40_000)]
+    rows += [("s", 100_000 + i, None, make(3) + mojibake.misread(make(6), "gb18030", "cp1252")) for i in range(4)]
+    frame = spark.createDataFrame(rows, "tab string, row bigint, place bigint, text string")
+    assert {r.row for r in mojibake.garbled(frame).collect()} == {100_000 + i for i in range(4)}
