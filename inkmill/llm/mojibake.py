@@ -178,6 +178,16 @@ def _spans(hit: np.ndarray, row: np.ndarray, gap: int) -> tuple[np.ndarray, np.n
     return hit[np.concatenate([[0], cut + 1])], hit[np.concatenate([cut, [len(hit) - 1]])] + 1
 
 
+def _passages(hit: np.ndarray, row: np.ndarray, line: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The spans within lines and those that go over several lines of a row."""
+    a, b = _spans(hit, line, gap)
+    if not len(a):
+        return a, b
+    c, d = _spans(hit, row, gap)
+    over = line[c] != line[d - 1]
+    return np.concatenate([a, c[over]]), np.concatenate([b, d[over]])
+
+
 def _utf8_cover(data: np.ndarray, row: np.ndarray, log_share: np.ndarray) -> np.ndarray:
     """True for the bytes of well-formed UTF-8 sequences, within a row, of characters the corpus has."""
     n = len(data)
@@ -214,9 +224,10 @@ class Repairer:
         return float(self.log_share[points].mean()) if len(points) else -3.0
 
     def candidates(self, points: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[tuple[str, str], np.ndarray, np.ndarray]]:
-        """Per pair, the spans (start, end) that it may have garbled."""
+        """Per pair, the spans (start, end) that it may have garbled, of single lines and of passages of several."""
         n = len(points)
         row = codepoints.rows_of(offsets).astype(np.int32)
+        line = row + np.cumsum(points == 10, dtype=np.int32)
         basic = np.where(points < 0x10000, points, 0).astype(np.uint16)
         high = np.flatnonzero(points > 127)
         if not len(high):
@@ -231,7 +242,7 @@ class Repairer:
                     continue
                 group = np.cumsum(np.concatenate([[True], (np.diff(high[at]) != 1) | (at_row[at][1:] != at_row[at][:-1])]))
                 cover = _utf8_cover(data[at], group, self.log_share)
-                yield (written, read), *_spans(high[at[cover]], row, 4)
+                yield (written, read), *_passages(high[at[cover]], row, line, 4)
             elif _single(read) and not _single(written):
                 # Two characters make one; they pair up from the start of a run of high bytes.
                 data = first[basic]
@@ -247,7 +258,7 @@ class Repairer:
                 gain = np.where(code > 0, 2 * self.log_share[code] - own[at[lead]] - own[at[lead + 1]], -4.0)
                 known = (code > 0) & (self.log_share[code] > KNOWN)
                 pos = high[at[lead]]
-                a, b = _spans(np.sort(np.concatenate([pos[known], pos[known] + 1])), row, 3)
+                a, b = _passages(np.sort(np.concatenate([pos[known], pos[known] + 1])), row, line, 3)
                 if len(a):
                     total = np.concatenate([[0], np.cumsum(gain)])
                     i, j = np.searchsorted(pos, a), np.searchsorted(pos, b)
@@ -264,7 +275,7 @@ class Repairer:
                 group = np.cumsum(np.concatenate([[True], (np.diff(high[at]) > 1)]) | np.concatenate([[True], at_row[at][1:] != at_row[at][:-1]]))
                 cover = _utf8_cover(data, np.repeat(group, 2), self.log_share)
                 full = cover[0::2] & cover[1::2]
-                a, b = _spans(high[at[full]], row, 3)
+                a, b = _passages(high[at[full]], row, line, 3)
                 long = b - a >= 4
                 yield (written, read), a[long], b[long]
                 # An accented letter is one two-byte character, next to a plain letter.
@@ -279,7 +290,7 @@ class Repairer:
                 gain = np.where(ok, self.log_share[to] - own, 0)
                 start = gain > 2
                 # Groups of gaining characters, with at most two others between them.
-                a, b = _spans(high[start], row, 3)
+                a, b = _passages(high[start], row, line, 3)
                 if len(a):
                     total = np.concatenate([[0], np.cumsum(gain)])
                     i, j = np.searchsorted(high, a), np.searchsorted(high, b)
@@ -294,7 +305,7 @@ class Repairer:
         written, read = pair
         out, lost = undo(text, written, read)
         seen = [c for c in out if c > "\x7f" and c != _LOST]
-        if out == text or any(0x80 <= ord(c) < 0xA0 or (ord(c) < 32 and c not in "\t\r\n") or 0xE000 <= ord(c) < 0xF900 for c in out):
+        if out == text or _odd(out):
             return None
         if not seen:
             return (out, 20.0) if _LOST in out and written == "utf-8" and lost <= 2 + len(text) // 3 else None
@@ -309,6 +320,19 @@ class Repairer:
         need = GAIN_FORM if single and not _single(written) or written == "utf-8" else GAIN_MEAN
         return (out, gain) if known > 0.8 and gain >= need else None
 
+    def lines_of(self, points: np.ndarray, x: int, y: int, pair: tuple[str, str]) -> list[tuple[float, int, int, str]]:
+        """(gain, start, end, restored) of the lines of a garbled passage, some of which may be too short to show by themselves."""
+        whole = self.verify(points[x:y].tobytes().decode("utf-32-le", "surrogatepass"), pair)
+        out = []
+        if whole:
+            ends = [x - 1, *(x + np.flatnonzero(points[x:y] == 10)).tolist(), y]
+            for i, j in ((p + 1, q) for p, q in zip(ends, ends[1:])):
+                part = points[i:j].tobytes().decode("utf-32-le", "surrogatepass").rstrip("\r")
+                fixed, lost = undo(part, *pair)
+                if part and fixed != part and not lost and not _odd(fixed):
+                    out.append((whole[1], i, i + len(part), fixed))
+        return out
+
     def find(self, points: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, str, tuple[str, str]]]:
         """(row, start, end, restored, pair) of the garbled spans of a batch, the best where they overlap, in order."""
         raw: list[tuple[float, int, int, int, str, tuple[str, str]]] = []
@@ -316,7 +340,11 @@ class Repairer:
             if not len(a):
                 continue
             rows = np.searchsorted(offsets, a, "right") - 1
+            alone: dict[int, list[tuple[int, int]]] = {}  # the pair's spans that show by themselves
             for r, x, y in zip(rows.tolist(), a.tolist(), b.tolist()):
+                if 10 in points[x:y]:
+                    raw += [(gain * (j - i), r, i, j, fixed, pair) for gain, i, j, fixed in self.lines_of(points, x, y, pair) if all(j <= p or i >= q for p, q in alone.get(r, ()))]
+                    continue
                 low, high = int(offsets[r]), int(offsets[r + 1])
                 best = None
                 edges = ((x, y),) if _single(pair[1]) and pair[0] == "utf-8" else ((x, y), (x - 1, y), (x, y + 1), (x - 1, y + 1), (x + 1, y))
@@ -329,6 +357,7 @@ class Repairer:
                         if best is None or value > best[0]:
                             best = (value, r, i, j, got[0], pair)
                 if best:
+                    alone.setdefault(r, []).append(best[2:4])
                     raw.append((best[0] * (best[3] - best[2]), *best[1:]))
         raw.sort(key=lambda x: -x[0])
         taken, spans = {}, []
@@ -363,6 +392,11 @@ def _within(sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
+def _odd(text: str) -> bool:
+    """Whether ``text`` has control or private characters, which no restored text has."""
+    return any(0x80 <= ord(c) < 0xA0 or (ord(c) < 32 and c not in "\t\r\n") or 0xE000 <= ord(c) < 0xF900 for c in text)
+
+
 _SWAPPED = re.compile("[а-яё][А-ЯЁ]{2}")
 _MARKS = re.compile("(?m)(?:^|(?<=\\s))\\?{3,}(?=\\s|\\d|$)|[\ufffd\x80-\x84\x86-\x9f]|锟斤拷|ï¿½")
 

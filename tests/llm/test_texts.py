@@ -155,3 +155,17 @@ def test_a_rare_pair_is_learned_from_all_records(spark):
     rows += [("s", 100_000 + i, None, make(3) + mojibake.misread(make(6), "gb18030", "cp1252")) for i in range(4)]
     frame = spark.createDataFrame(rows, "tab string, row bigint, place bigint, text string")
     assert {r.row for r in mojibake.garbled(frame).collect()} == {100_000 + i for i in range(4)}
+
+
+@pytest.mark.parametrize("pair", [("gb18030", "cp1252"), ("utf-8", "cp1252"), ("gb18030", "big5")])
+def test_text_garbled_over_several_lines(pair):
+    share = np.full(0x110000, -20.0, np.float32)
+    lines = ["夜深了，他推开门。", "", "雨停的时候，远处的灯一盏一盏灭了。", "风轻。"]
+    for c in "".join(lines):
+        share[ord(c)] = -4.0
+    fixer = mojibake.Repairer(share, [pair])
+    for end in ("\n", "\r\n"):
+        clean = end.join(lines)
+        text = "Vor. " + end.join(mojibake.misread(x, *pair) for x in lines)
+        points, offsets, _ = codepoints.decode(pa.array([text]))
+        assert fixer.repair([text], [fixer.find(points, offsets)]) == ["Vor. " + clean]
