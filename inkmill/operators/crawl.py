@@ -25,15 +25,29 @@ def safe_name(name: Column) -> Column:
     return F.regexp_replace(name, r'[\\/:*?"<>|]', "_")
 
 
-def merged_works(pages: DataFrame) -> DataFrame:
-    """``(novel, file_name, text, n_chapters, n_failed)``: the last try of each chapter in order, title, blank line, content.
+def merged_rows(pages: DataFrame) -> DataFrame:
+    """``(novel, chapter_index, text, failed)``: the last try of each chapter as title, blank line, content.
 
     ``pages`` has ``novel, chapter_index, title, content, success, crawl_id``; failed chapters read ``[Download Failed]``.
+    The rows are cut into ranges and sorted by novel and chapter, so that the texts of a work one after the other are the
+    work; no work is gathered in one task or value.
     """
+    return _last_tries(pages).repartitionByRange("novel", "chapter_index").sortWithinPartitions("novel", "chapter_index")
+
+
+def _last_tries(pages: DataFrame) -> DataFrame:
     w = Window.partitionBy("novel", "chapter_index").orderBy(F.desc(F.coalesce("success", F.lit(False))), F.desc("crawl_id"))
     last = pages.where("novel is not null").withColumn("_n", F.row_number().over(w)).where("_n = 1")
     body = F.concat(F.coalesce("title", F.lit("")), F.lit("\n\n"), F.when(F.coalesce("success", F.lit(False)), F.coalesce("content", F.lit(""))).otherwise("[Download Failed]"), F.lit("\n\n"))
-    rows = last.select("novel", F.struct("chapter_index", body.alias("body")).alias("x"), (~F.coalesce("success", F.lit(False))).cast("int").alias("failed"))
+    return last.select("novel", "chapter_index", body.alias("text"), (~F.coalesce("success", F.lit(False))).cast("int").alias("failed"))
+
+
+def merged_works(pages: DataFrame) -> DataFrame:
+    """``(novel, file_name, text, n_chapters, n_failed)``: the rows of ``merged_rows`` with each work as one text.
+
+    A text is one value, so a work has to stay below 2 GB; larger ones are left to ``merged_rows``.
+    """
+    rows = _last_tries(pages).select("novel", F.struct("chapter_index", F.col("text").alias("body")).alias("x"), "failed")
     return rows.groupBy("novel").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["body"]), "").alias("text"), F.count(F.lit(1)).alias("n_chapters"), F.sum("failed").alias("n_failed")).select("novel", F.concat(safe_name(F.col("novel")), F.lit(".txt")).alias("file_name"), "text", "n_chapters", "n_failed")
 
 

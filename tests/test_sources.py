@@ -1,6 +1,7 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkmill.operators import crawl as W
 from inkmill.sources.store import Store
@@ -66,3 +67,14 @@ def test_html(spark):
     assert got == {1: ("x\ny\nz", True), 2: (None, False)}
     flaky = W.fetched(pages.select("page", "url"), lambda u: (_ for _ in ()).throw(OSError()) if u is None else f"<p>{u}", 1, 0.0)
     assert {(r.page, r.success) for r in flaky.collect()} == {(1, True), (2, False)}
+
+
+def test_works_as_rows_are_the_works(spark):
+    pages = spark.createDataFrame([(f"n{i % 2}", i // 2, f"t{i}", f"c{i}", i % 7 != 0, i) for i in range(400)] + [("n1", 3, "t", "old", True, -1), (None, 1, "x", "y", True, 999)], "novel string, chapter_index int, title string, content string, success boolean, crawl_id bigint")
+    rows, text = W.merged_rows(pages), {}
+    for r in rows.collect():
+        text[r.novel] = text.get(r.novel, "") + r.text
+    works = {r.novel: r for r in W.merged_works(pages).collect()}
+    assert text == {k: r.text for k, r in works.items()} and set(text) == {"n0", "n1"}
+    counts = {r.novel: (r.n, r.failed) for r in rows.groupBy("novel").agg(F.count(F.lit(1)).alias("n"), F.sum("failed").alias("failed")).collect()}
+    assert counts == {k: (r.n_chapters, r.n_failed) for k, r in works.items()}
