@@ -43,7 +43,7 @@ def _looks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return canonical.alike_pairs(_looks(spark, d).withColumn("place", F.xxhash64("place.novel", "place.chapter_index", "place.p")))
+    return canonical.alike_pairs(_looks(spark, d).withColumn("place", F.when(F.col("place").isNotNull(), F.xxhash64("place.novel", "place.chapter_index", "place.p"))))
 
 
 def p3_form(spark: SparkSession, d: str) -> DataFrame:

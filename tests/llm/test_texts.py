@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from inkmill.llm import bpe, canonical, codepoints, leaks, mojibake, sentences
-from inkmill.llm.queries import vocabulary_path
+from inkmill.llm.queries import p3_found, vocabulary_path
 
 
 @pytest.mark.parametrize(
@@ -169,3 +169,9 @@ def test_text_garbled_over_several_lines(pair):
         text = "Vor. " + end.join(mojibake.misread(x, *pair) for x in lines)
         points, offsets, _ = codepoints.decode(pa.array([text]))
         assert fixer.repair([text], [fixer.find(points, offsets)]) == ["Vor. " + clean]
+
+
+def test_rows_without_a_place_are_no_look_alikes(spark, tmp_path):
+    spark.createDataFrame([(1, "n", 1, "Café"), (2, None, 1, "Café"), (3, None, 1, "Cafe\u0301"), (4, "n", 1, "Cafe\u0301")], "chapter_row bigint, novel string, chapter_index int, title string").write.parquet(str(tmp_path / "chapters.parquet"))
+    spark.createDataFrame([(1, "n", 1, None, "é"), (2, "n", 1, None, "e\u0301")], "scene_row bigint, novel string, chapter_index int, start_paragraph int, text string").write.parquet(str(tmp_path / "scenes.parquet"))
+    assert [tuple(r) for r in p3_found(spark, str(tmp_path)).collect()] == [("chapters", 1, 4)]
