@@ -6,11 +6,14 @@ the whole text: of overlapping spans that differ, the one further from an edge o
 cut may have shortened fall out for those that lie whole in the next window. An exact check of the form follows for
 mail addresses, phone and identity numbers, whose ends are well-defined.
 
-The labelled spans are sentences with drawn values (see ``pii_labels``), mixed with lines of a bounded sample of the
-corpus (``SAMPLE_DOCUMENTS``, by a hash of the document id) as text without personal data. Training takes a bounded
-number of examples on the driver; tagging covers every character of every text inside Spark tasks.
+The labelled spans are sentences with drawn values (see ``pii_labels``), mixed with lines of the corpus as text without
+personal data: about ``SAMPLE_LINES`` of all lines of all documents, picked by a hash, less those with words or forms
+that go with values. Training takes ``EXAMPLES`` examples on the driver, and its result is kept in the shared folder
+under a hash of what it was trained on; tagging covers every character of every text inside Spark tasks.
 """
 
+import hashlib
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -18,26 +21,32 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.llm import codepoints
+from inkmill.llm import codepoints, pii_labels
 from inkmill.llm.pii_labels import KINDS, examples
 from inkmill.llm.tagger import Tagger, best_paths, emissions, new_tagger, train, undecided
-
-SAMPLE_DOCUMENTS = 1500
-EXAMPLES = 10_000
-EPOCHS = 5
-BATCH = 48
+from inkmill.sources.tables import shared_folder
+
+#: Lines of the corpus that training may see, and characters of one (a longer one gives a stretch of it, placed by a hash).
+SAMPLE_LINES, LINE_LENGTH = 12_000, 400
+EXAMPLES = 20_000
+EPOCHS = 6
+BATCH = 96
+RATE = 0.009
 #: Characters of a window, and how many two neighbours share; longer than any value with its surroundings.
 WINDOW, OVERLAP = 192, 56
 #: Longest labelled line.
-EXAMPLE_LENGTH = 144
+EXAMPLE_LENGTH = 120
 #: A character is a vocabulary entry of its own from this many occurrences in the examples on.
 MIN_COUNT = 4
 #: Share of characters that stand for their class in training, so that unseen ones are met.
-DROP = 0.12
-PIECE = 1 << 18
+DROP = 0.15
+PIECE = 1 << 19
+#: Digits count as one of these private code points, by how many stand in a row.
+RUNS, LONGEST_RUN = 0xF0000, 20
 TAGS = 1 + 2 * len(KINDS)
 _CLASSES = ["pad", "newline", "space", "digit", "lower", "upper", "cyrillic lower", "cyrillic upper", "greek", "han", "hiragana", "katakana", "hangul", "thai", "letter", "mark", "dash", "open", "close", "quote", "dot", "symbol", "other"]
 
@@ -86,20 +95,33 @@ def _folded() -> tuple[np.ndarray, np.ndarray]:
     point[0x3000] = 32
     kind[0xFF01:0xFF5F] = kind[0x21:0x7F]
     point[kind == _CLASSES.index("digit")] = 48
+    kind[RUNS : RUNS + LONGEST_RUN + 1] = _CLASSES.index("digit")
     return kind, point
 
 
+def read(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """What the tagger reads of a batch of code points: wide forms as plain ones, digits by the length of their run."""
+    out = _folded()[1][points]
+    digit = out == 48
+    at = np.flatnonzero(digit)
+    if len(at):
+        new = np.concatenate([[True], np.diff(at) != 1]) | np.isin(at, offsets)
+        run = np.cumsum(new) - 1
+        out[at] = RUNS + np.minimum(np.bincount(run)[run], LONGEST_RUN)
+    return out
+
+
 def fit(corpus_lines: list[str], n: int = EXAMPLES, epochs: int = EPOCHS, seed: int = 5) -> Tagger:
     """Train a tagger on ``n`` labelled lines, some of them from the corpus."""
     rng = np.random.default_rng(seed)
     labelled = [(t.replace("\n", " ")[:EXAMPLE_LENGTH], [x for x in s if x[1] <= EXAMPLE_LENGTH]) for t, s in examples(n, corpus_lines, seed) if t]
-    kind, point = _folded()
-    texts = [point[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)] for t, _ in labelled]
+    kind = _folded()[0]
+    texts = [read(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), np.zeros(1, np.int64)) for t, _ in labelled]
     seen, count = np.unique(np.concatenate(texts), return_counts=True)
     own = seen[count >= MIN_COUNT]
     vocabulary = kind.copy()
     vocabulary[own] = len(_CLASSES) + np.arange(len(own))
-    vocabulary = vocabulary[point].astype(np.int32)
+    vocabulary = vocabulary.astype(np.int32)
     model = new_tagger(vocabulary, len(_CLASSES) + len(own), TAGS, rng)
     size = np.array([len(t) for t in texts])
 
@@ -121,7 +143,7 @@ def fit(corpus_lines: list[str], n: int = EXAMPLES, epochs: int = EPOCHS, seed:
                 tags[r, len(x) :] = 0
             yield ids, tags, mask
 
-    train(model, batches, epochs, 0.009)
+    train(model, batches, epochs, RATE)
     return model
 
 
@@ -146,7 +168,7 @@ def tagged(model: Tagger, points: np.ndarray, offsets: np.ndarray) -> list[tuple
     row, start, size, cut = windows(points, offsets)
     if not len(start):
         return []
-    emit = emissions(model, points, start, size)
+    emit = emissions(model, read(points, offsets), start, size)
     begin = np.cumsum(size) - size
     window = np.repeat(np.arange(len(size)), size)
     unsure = undecided(model, emit, begin, size)
@@ -234,13 +256,31 @@ def found_spans(model: Tagger, column: pa.Array) -> list[tuple[int, int, int, in
     return out
 
 
-def corpus_lines(documents: DataFrame, n: int = SAMPLE_DOCUMENTS) -> list[str]:
-    """Lines of a sample of about ``n`` documents (at most twice that), by a hash of the id; only for training."""
+def corpus_lines(documents: DataFrame, n: int = SAMPLE_LINES) -> list[str]:
+    """About ``n`` lines (at most twice that) of all lines of the corpus, by a hash of document and line; only for training."""
+    lines = F.split("text", r"[\r\n]+")
     texts = documents.where("text is not null and text <> ''")
-    share = n / max(1, texts.count())
-    picked = texts.where(F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < F.lit(int(min(1.0, share) * 1_000_000))).select("doc", F.substring("text", 1, 4000).alias("text"))
-    rows = sorted(picked.limit(2 * n).collect(), key=lambda r: (r.doc, r.text))
-    return [line for r in rows for line in re.split(r"[\r\n]+", r.text) if line.strip()]
+    total = texts.select(F.sum(F.size(lines))).first()[0] or 0
+    each = texts.select("doc", F.posexplode(lines).alias("nth", "line")).withColumn("h", F.xxhash64("doc", "nth", "line"))
+    part = F.substring("line", (F.lit(1) + F.pmod(F.shiftrightunsigned("h", 20), F.greatest(F.length("line") - LINE_LENGTH, F.lit(1)))).cast("int"), F.lit(LINE_LENGTH))
+    share = min(1.0, n / max(1, total))
+    picked = each.where((F.pmod("h", F.lit(1_000_000)) < F.lit(int(share * 1_000_000))) & (F.trim("line") != "")).select("h", part.alias("line"))
+    return [r.line for r in sorted(picked.limit(2 * n).collect(), key=lambda r: (r.h, r.line))]
+
+
+def trained(documents: DataFrame) -> Tagger:
+    """The tagger for a corpus, from the shared folder where one was trained on the same lines before."""
+    spark = documents.sparkSession
+    lines = corpus_lines(documents)
+    with open(pii_labels.__file__, "rb") as f:
+        made_of = repr([lines, EXAMPLES, EPOCHS, BATCH, DROP, MIN_COUNT, EXAMPLE_LENGTH]).encode("utf-8", "surrogatepass") + f.read()
+    path = f"{shared_folder(spark).rstrip('/')}/tagger-{hashlib.sha256(made_of).hexdigest()[:32]}"
+    try:
+        return pickle.loads(spark.read.parquet(path).first()[0])
+    except AnalysisException:
+        model = fit(lines)
+        spark.createDataFrame([(pickle.dumps(model),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
+        return model
 
 
 def personal_data(documents: DataFrame, model: Tagger | None = None) -> DataFrame:
@@ -249,7 +289,7 @@ def personal_data(documents: DataFrame, model: Tagger | None = None) -> DataFram
     ``documents`` has ``doc, text``; other columns are ignored. Null and empty texts have none; repeated rows come out
     again; an empty table gives an empty result. Without a ``model`` one is trained.
     """
-    model = model or fit(corpus_lines(documents))
+    model = model or trained(documents)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +308,7 @@ def masked(documents: DataFrame, model: Tagger | None = None) -> DataFrame:
 
     Null stays null and empty stays empty, both without values; repeated rows come out again.
     """
-    model = model or fit(corpus_lines(documents))
+    model = model or trained(documents)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

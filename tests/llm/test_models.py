@@ -1,10 +1,9 @@
-"""Neighbours and personal data."""
+"""Neighbours and the tagger."""
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
-from inkmill.llm import neighbours, pii, pii_labels, tagger
+from inkmill.llm import neighbours, tagger
 
 
 def brute(rows, k):
@@ -68,38 +67,3 @@ def test_gradients_and_paths(monkeypatch):
         down = tagger.gradients(m, ids, tags, mask)[0]
         w[at] += 1e-2
         assert (up - down) / 2e-2 == pytest.approx(float(d[n][at]), abs=2e-3)
-
-
-PLAIN = ["The wind did the rest and nobody spoke of it again.", "他推开门，雨停了。", "Mara went to Orrin about a brass key.", "Он ждал рассвета у моста."] * 20
-
-
-@pytest.fixture(scope="module")
-def model():
-    return pii.fit(PLAIN, 4000, 5)
-
-
-def test_tagger_on_held_out_examples(model):
-    cases = [(t, s) for t, s in pii_labels.examples(400, PLAIN, seed=99)]
-    got = {}
-    for r, a, b, k in pii.found_spans(model, pa.array([t for t, _ in cases])):
-        got.setdefault(r, set()).add((a, b, k))
-    want = {(i, *s) for i, (_, spans) in enumerate(cases) for s in spans}
-    have = {(i, *s) for i, spans in got.items() for s in spans}
-    assert len(want & have) / len(want) > 0.8 and len(want & have) / len(have) > 0.8
-
-
-def test_masking(spark, model):
-    rows = [(1, "投稿与勘误请写信至 moyu48@shuyou.test，三日内回复。\n第二行", 3), (2, None, 3), (3, "", 3), (4, "没有别的。", 3), (1, "投稿与勘误请写信至 moyu48@shuyou.test，三日内回复。\n第二行", 3), (5, "走。" * 40_000, 3)]
-    frame = spark.createDataFrame(rows, "doc bigint, text string, kind int")
-    got = sorted(((r.doc, r.text, r["values"]) for r in pii.masked(frame, model).collect()), key=lambda r: r[0])
-    assert got[0] == got[1] == (1, "投稿与勘误请写信至 <EMAIL>，三日内回复。\n第二行", 1)
-    assert got[2:] == [(2, None, 0), (3, "", 0), (4, "没有别的。", 0), (5, "走。" * 40_000, 0)]
-    spans = pii.personal_data(frame, model).where("doc = 1").collect()
-    assert {(r.start_pos, r.end_pos, r.kind) for r in spans} == {(10, 28, "email")}
-    assert pii.personal_data(frame.limit(0), model).collect() == []
-
-
-@pytest.mark.parametrize("line, kind, want", [("信箱 a.b [at] c [dot] test。", "email", "a.b [at] c [dot] test"), ("电话(+86)143-84274218。", "phone", "(+86)143-84274218"), ("拨0190-5552426转157，", "phone", "0190-5552426转157"), ("号４８０１０３１９９２０８１２７８４X，", "id_number", "４８０１０３１９９２０８１２７８４X")])
-def test_exact_form(line, kind, want):
-    a = line.index(want)
-    assert pii.checked(line, a + 1, a + len(want) - 1, pii.KINDS.index(kind)) == (a, a + len(want))
