@@ -26,7 +26,7 @@ def test_neighbours_recall_and_ties(spark):
     rows = [(r, f"c{r}", v, "2024-01-01 00:00:00") for r, v in vectors]
     rows += [(8001, "c3", [1.0] * 64, "2023-01-01 00:00:00"), (8002, "n", None, None), (8003, "z", [0.0] * 64, None), (8004, "i", [float("inf")] * 64, None), (8005, "w", [1.0] * 3, None), (8006, None, [1.0] * 64, None)]
     frame = spark.createDataFrame(rows, "row bigint, chunk string, embedding array<float>, at string").selectExpr("row", "chunk", "embedding", "cast(at as timestamp) at", "1 as cosine")
-    got = {tuple(r) for r in neighbours.neighbour_pairs(frame, 5, cell=100).collect()}
+    got = {tuple(r) for r in neighbours.neighbour_pairs(frame, 5, top=500).collect()}
     want = brute(vectors, 5)
     assert len(got & want) / len(want) > 0.97 and len(got & want) / len(got) > 0.97
     copies = {p for p in want if p[0] >= 9000 or p[1] >= 9000}
