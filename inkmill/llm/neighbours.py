@@ -28,6 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkmill.llm.blas import one_thread
 from inkmill.sources.tables import materialise
 
 #: Vectors of a cell and of a part of it, and how many parts of a cell a query scans.
@@ -256,7 +257,8 @@ def _index(indexed: DataFrame, total: int, d: int, top: int, sample: int, probes
     wanted = max(sample, PER_CELL * cells)
     share = int(min(1.0, wanted / total) * 1_000_000)
     picked = indexed.where(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < share).select("row", "embedding").limit(2 * wanted).toArrow().sort_by("row")
-    quantiser = fit(_units(picked.column("embedding").combine_chunks(), d), cells)
+    with one_thread():
+        quantiser = fit(_units(picked.column("embedding").combine_chunks(), d), cells)
     sent = spark.sparkContext.broadcast(quantiser)
     while True:
         held = sent
@@ -267,8 +269,9 @@ def _index(indexed: DataFrame, total: int, d: int, top: int, sample: int, probes
                 if not b.num_rows:
                     continue
                 unit = _units(b.column("embedding"), d)
-                cells = q.cells(unit, probes).astype(np.int32)
-                codes = q.encode(unit, cells[:, 0])
+                with one_thread():
+                    cells = q.cells(unit, probes).astype(np.int32)
+                    codes = q.encode(unit, cells[:, 0])
                 packed = codes[:, 0::2] | (codes[:, 1::2] << 4)
                 bounds = np.arange(len(packed) + 1, dtype=np.int32) * packed.shape[1]
                 code = pa.Array.from_buffers(pa.binary(), len(packed), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(packed))])
@@ -328,7 +331,8 @@ def neighbours(store: DataFrame, k: int = 5, d: int = 64, sample: int = SAMPLE,
             return pa.table({"row": pa.array([], pa.int64()), "near": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
         packed = np.frombuffer(b"".join(mine.column("code").to_pylist()), np.uint8).reshape(mine.num_rows, -1)
         x, y = _units(mine.column("embedding").combine_chunks(), d), _units(theirs.column("embedding").combine_chunks(), d)
-        near, cosine = _nearest(sent.value, x, packed, mine.column("row").to_numpy(), y, k)
+        with one_thread():
+            near, cosine = _nearest(sent.value, x, packed, mine.column("row").to_numpy(), y, k)
         keep = near.ravel() >= 0
         return pa.table({"row": np.repeat(theirs.column("row").to_numpy(), k + 1)[keep], "near": near.ravel()[keep], "cosine": cosine.ravel()[keep]})
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkmill.llm import codepoints, pii_labels
+from inkmill.llm.blas import one_thread
 from inkmill.llm.pii_labels import KINDS, examples
 from inkmill.llm.tagger import Tagger, best_paths, emissions, new_tagger, train, undecided
 from inkmill.sources.tables import shared_folder
@@ -143,7 +144,8 @@ def fit(corpus_lines: list[str], n: int = EXAMPLES, epochs: int = EPOCHS, seed:
                 tags[r, len(x) :] = 0
             yield ids, tags, mask
 
-    train(model, batches, epochs, RATE)
+    with one_thread():
+        train(model, batches, epochs, RATE)
     return model
 
 
@@ -241,7 +243,9 @@ def found_spans(model: Tagger, column: pa.Array) -> list[tuple[int, int, int, in
     out = []
     for at, piece in codepoints.pieces(column, PIECE):
         points, offsets, _ = codepoints.decode(piece)
-        for r, a, b, k in tagged(model, points, offsets):
+        with one_thread():
+            spans = tagged(model, points, offsets)
+        for r, a, b, k in spans:
             low, high = int(offsets[r]), int(offsets[r + 1])
             x, y = a, b
             while x > low and points[x - 1] not in (10, 13):
