@@ -6,21 +6,29 @@ around every hit the overlap is extended over single changed, missing or additio
 
 Hashes come from a running polynomial sum modulo 2^64, so any mask and any common extension is a few differences of
 whole arrays. The evaluation items are the stated query set: they are taken in blocks of at most ``block_letters``
-letters, and only one block's hashes are sent to the tasks at a time, so what is broadcast has that bound.
+letters. A block's hashes are sent to the tasks, with a filter sized by their number, its result is written, and they
+are released before the next block is read, so the driver and the tasks hold one block at a time. The corpus is read once
+a block (4,000 items of 500 letters are one). Phrases that many texts and items share have many hits, so candidates are
+verified where they are found and never shuffled.
+
+Of equal hashes that overlap one another, as in a letter repeated ten thousand times, only the first and the last stand
+for the run, and pairs of positions are verified a bounded number at a time.
 """
 
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkmill.llm import codepoints
 from inkmill.llm.canonical import canonical_points
+from inkmill.sources.tables import materialise
 
 #: Letters a passage must have, by the language of the item.
 PASSAGE, PASSAGE_OF = 45, {"en": 80}
@@ -33,7 +41,10 @@ LONG_MASKS = [((0, 20),), ((0, 10), (11, 21)), ((0, 7), (8, 15), (16, 23))]
 RESUME, RESUME_LONG = 5, 8
 BLOCK_LETTERS = 2_000_000
 _B = 0x9E3779B97F4A7C15 | 1
-_FILTER_BITS = 21
+#: Slots of a mask's filter, at least and at most (as powers of two); eight or more for each hash in between.
+FILTER_BITS = 18, 26
+#: Pairs of positions that are verified at once.
+PAIRS = 1 << 20
 
 
 @lru_cache(1)
@@ -90,11 +101,26 @@ def seeds(sums: np.ndarray, offsets: np.ndarray, mask: tuple, wanted: np.ndarray
         total -= sums[a : n - span + 1 + a]
     _, inverse = _powers(1 << max(10, n.bit_length()))
     total *= inverse[: len(total)]
-    at = np.arange(len(total)) if wanted is None else np.flatnonzero(wanted[total >> np.uint64(64 - _FILTER_BITS)])
+    at = np.arange(len(total)) if wanted is None else np.flatnonzero(wanted[total >> np.uint64(65 - len(wanted).bit_length())])
     at = at[at + span <= offsets[np.searchsorted(offsets, at, "right")]]
     return total[at], at
 
 
+def _ends_of_runs(h: np.ndarray, at: np.ndarray, row: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order, with their positions; of equal ones of a text that overlap one another only the first and the last.
+
+    A passage that goes on beyond a periodic run on one side lies as the run's end on that side does, and within runs any
+    two ends give the same length, so nothing is lost.
+    """
+    order = np.lexsort((at, h))
+    h, at, row = h[order], at[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1]) | (at[1:] - at[:-1] > span)
+    last = np.ones(len(h), bool)
+    last[:-1] = new[1:]
+    return h[new | last], at[new | last]
+
+
 def _common(a: np.ndarray, i: np.ndarray, a_left: np.ndarray, b: np.ndarray, j: np.ndarray, b_left: np.ndarray, back: bool = False) -> np.ndarray:
     """Letters that agree from position i of a and j of b on (before them if ``back``), at most the letters left."""
     low, high = np.zeros(len(i), np.int64), np.minimum(a_left, b_left)
@@ -138,37 +164,55 @@ def index_items(ids: list, texts: list, langs: list) -> Items:
         for mask in masks:
             h, at = seeds(sums, offsets, mask)
             own = of[row[at]]
-            h, at = h[own], at[own]
-            order = np.argsort(h, kind="stable")
-            h, at = h[order], at[order]
-            bits = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
-            slot = (h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
-            np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+            h, at = _ends_of_runs(h[own], at[own], row[at[own]], mask[-1][1])
+            size = min(max((8 * len(h)).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+            bits = np.zeros(1 << size, bool)
+            bits[(h >> np.uint64(64 - size)).astype(np.int64)] = True
+            bits = np.packbits(bits, bitorder="little")
             tables.append((mask, h, at, bits))
     return Items(sums, offsets, np.array(ids, np.int64), long, need, tuple(tables))
 
 
 def passages(points: np.ndarray, offsets: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
     """(row of the text, item) of every text with a passage that is long enough."""
-    sums = _sums(points)
-    pairs, filters, width = [], {}, len(items.sums)
+    sums, width = _sums(points), len(items.sums)
+    rows = codepoints.rows_of(offsets)
+    pairs, held, found = [], 0, []
     for mask, h, at, bits in items.tables:
         if not len(h):
             continue
-        if id(bits) not in filters:
-            filters[id(bits)] = np.unpackbits(bits, bitorder="little").view(bool)
-        mine, here = seeds(sums, offsets, mask, filters[id(bits)])
-        left, right = np.searchsorted(h, mine, "left"), np.searchsorted(h, mine, "right")
-        n = right - left
-        ends = np.cumsum(n)
-        if len(ends) and ends[-1]:
-            pair = np.repeat(here, n) * width + at[np.repeat(left - (ends - n), n) + np.arange(ends[-1])]
+        mine, here = seeds(sums, offsets, mask, np.unpackbits(bits, bitorder="little").view(bool))
+        left = np.searchsorted(h, mine, "left")
+        known = h[np.minimum(left, len(h) - 1)] == mine
+        mine, here = _ends_of_runs(mine[known], here[known], rows[here[known]], mask[-1][1])
+        left = np.searchsorted(h, mine, "left")
+        n = np.searchsorted(h, mine, "right") - left
+        ends, low = np.cumsum(n), 0
+        while low < len(n):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS, "right")))
+            own = n[low:high]
+            pair = np.repeat(here[low:high], own) * width + at[np.repeat(left[low:high] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+            pair.sort()
             # A hit one letter after another on the same diagonal lies in the same run of equal letters.
             before = np.minimum(np.searchsorted(pair, pair - (width + 1)), len(pair) - 1)
             pairs.append(pair[pair[before] != pair - (width + 1)])
-    if not pairs:
+            held += len(pairs[-1])
+            if held > PAIRS:
+                found.append(_long_enough(np.unique(np.concatenate(pairs)), sums, offsets, items))
+                pairs, held = [], 0
+            low = high
+    if held:
+        found.append(_long_enough(np.unique(np.concatenate(pairs)), sums, offsets, items))
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    d, q = np.divmod(np.unique(np.concatenate(pairs)), width)
+    both = np.unique(np.concatenate([r * len(items.ids) + i for r, i in found]))
+    return np.divmod(both, len(items.ids))
+
+
+def _long_enough(pair: np.ndarray, sums: np.ndarray, offsets: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(row, item) of the hits, as position of the text times width plus that of the item, around which a passage is long enough."""
+    width = len(items.sums)
+    d, q = np.divmod(pair, width)
     row, item = np.searchsorted(offsets, d, "right") - 1, np.searchsorted(items.offsets, q, "right") - 1
 
     def bounds(d: np.ndarray, q: np.ndarray, row: np.ndarray, item: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -212,10 +256,19 @@ def leaks(documents: DataFrame, items: DataFrame, block_letters: int = BLOCK_LET
     texts on either side give no case, items below ``WHOLE_ITEM`` letters neither; repeated rows give one case; an
     empty table gives an empty result. ``doc`` and ``item`` are BIGINT.
     """
-    out = documents.select("doc").limit(0).withColumn("item", F.lit(None).cast("bigint"))
-    for block in _blocks(items, block_letters):
-        out = out.unionByName(_scan(documents, index_items(*block)))
-    return out.distinct()
+    found, blocks = [], _blocks(items, block_letters)
+    block = next(blocks, None)
+    while block:
+        after = next(blocks, None)
+        hits, sent = _scan(documents, index_items(*block))
+        if after or found:  # more than one block: let go of each before the next
+            hits = materialise(hits.distinct(), "leaks")
+            sent.unpersist()
+        found.append(hits)
+        block = after
+    if not found:
+        return documents.select(F.col("doc").cast("bigint")).limit(0).withColumn("item", F.lit(None).cast("bigint"))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def _blocks(items: DataFrame, block_letters: int) -> Iterator[tuple[list, list, list]]:
@@ -233,7 +286,8 @@ def _blocks(items: DataFrame, block_letters: int) -> Iterator[tuple[list, list,
         yield ids, texts, langs
 
 
-def _scan(documents: DataFrame, block: Items) -> DataFrame:
+def _scan(documents: DataFrame, block: Items) -> tuple[DataFrame, Broadcast]:
+    """Hits of one block, and what was sent to the tasks for it."""
     sent = documents.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,4 +296,4 @@ def _scan(documents: DataFrame, block: Items) -> DataFrame:
                 row, item = passages(*letters(piece), sent.value)
                 yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(row + at)), pa.array(sent.value.ids[item], pa.int64())], names=["doc", "item"])
 
-    return documents.where("text is not null and text <> ''").select(F.col("doc").cast("bigint"), "text").mapInArrow(run, "doc bigint, item bigint")
+    return documents.where("text is not null and text <> ''").select(F.col("doc").cast("bigint"), "text").mapInArrow(run, "doc bigint, item bigint"), sent

@@ -118,6 +118,15 @@ def test_leaks(spark):
     assert leaks.leaks(frame.limit(0), items).collect() == [] and leaks.leaks(frame, items.limit(0)).collect() == []
 
 
+def test_runs_of_letters_on_both_sides():
+    rng = random.Random(4)
+    left, right = _noise(rng, 30), _noise(rng, 30)
+    items = leaks.index_items([1, 2, 3], ["甲" * 10_000, left + "乙" * 10_000 + right, "丙丁" * 5_000], ["zh", "zh", "zh"])
+    texts = ["甲" * 10_000, "x" * 20 + "甲" * 44 + "y" * 20, left + "乙" * 40, "乙" * 40 + right, left + "乙" * 9, "丁丙" * 3_000, "丙丁" * 22]
+    row, item = leaks.passages(*leaks.letters(pa.array(texts)), items)
+    assert set(zip(row.tolist(), item.tolist())) == {(0, 0), (2, 1), (3, 1), (5, 2)}
+
+
 def test_wrong_encodings(spark):
     rng = random.Random(8)
     words = ["夜深了", "他推开门", "雨停的时候", "远处的灯", "一盏一盏灭了", "没有人说话", "青石板路", "风里轻轻作响", "Café Zoë", "le château d’été", "Тихон ждал рассвета", "у старой переправы"]
