@@ -62,8 +62,11 @@ def budget_picks(tokens: list[int], most_tokens: int, most: int) -> list[bool]:
 
 
 def merged(hits: DataFrame, longest: int = 900, enabled: bool = True) -> DataFrame:
-    """Neighbours of one work and chapter as one row: first id, texts joined, best score, ``merged_ids``."""
-    item = F.struct("chapter_index", "start_paragraph", "id", "end_paragraph", F.concat_ws("|", "novel", "version").alias("work"), "text", "word_count", "score", "chapter_title", "novel", "version")
+    """Neighbours of one work and chapter as one row: first id, texts joined, best score, ``merged_ids``.
+
+    Hits are put in order by work first, so scenes of other works in between do not part neighbours.
+    """
+    item = F.struct(F.concat_ws("|", "novel", "version").alias("work"), "chapter_index", "start_paragraph", "id", "end_paragraph", "text", "word_count", "score", "chapter_title", "novel", "version")
 
     @F.pandas_udf("array<int>")
     def fold(work: pd.Series, chapter: pd.Series, start: pd.Series, end: pd.Series, size: pd.Series) -> pd.Series:
@@ -107,8 +110,10 @@ def full_text(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("query").agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: F.concat(F.lit("["), x["id"], F.lit("] "), x["text"], F.lit("\n"))), "").alias("context"), F.sum("tokens").alias("total_tokens"), F.count(F.lit(1)).alias("n_blocks"))
 
 
-def stage_counts(hits: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``(query, original, deduplicated, final, dropped)``."""
+def stage_counts(hits: DataFrame, joined: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``(query, original, deduplicated, merged, final, total_tokens, dropped)``: rows after each stage, and those left out by the budget."""
     a = hits.groupBy("query").agg(F.count(F.lit(1)).alias("original"), F.countDistinct(F.coalesce("id", F.concat_ws("_", "chapter_index", "start_paragraph"))).alias("deduplicated"))
-    b = blocks.groupBy("query").agg(F.sum(F.size("merged_ids")).alias("final"))
-    return a.join(b, "query", "left").select("query", "original", "deduplicated", F.coalesce("final", F.lit(0)).alias("final"), (F.col("deduplicated") - F.coalesce("final", F.lit(0))).alias("dropped"))
+    m = joined.groupBy("query").agg(F.count(F.lit(1)).alias("merged"))
+    b = blocks.groupBy("query").agg(F.count(F.lit(1)).alias("final"), F.sum("tokens").alias("total_tokens"))
+    full = a.join(m, "query", "left").join(b, "query", "left").na.fill(0, ["merged", "final", "total_tokens"])
+    return full.select("query", "original", "deduplicated", "merged", "final", "total_tokens", (F.col("merged") - F.col("final")).alias("dropped"))

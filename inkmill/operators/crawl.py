@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 def routed(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """``pages`` with the first rule (by ``rule_order``) whose domain is part of the url; without one its columns are null.
 
-    Rules are one row a site; they are matched as one array so that no pair of page and rule becomes a row.
+    Each address is matched once, however many pages have it, and keeps its first rule in the map-side aggregate.
     """
-    every = rules.where("domain is not null and domain <> ''").groupBy().agg(F.sort_array(F.collect_list(F.struct("rule_order", "domain"))).alias("_rules")).first()
-    table = F.array(*[F.struct(F.lit(r.rule_order).alias("rule_order"), F.lit(r.domain).alias("domain")) for r in every._rules]) if every and every._rules else F.array().cast("array<struct<rule_order:int,domain:string>>")
-    hit = F.get(F.filter(table, lambda r: F.contains(F.col("url"), r["domain"])), F.lit(0))
-    return pages.select("*", hit.alias("_r")).select(*pages.columns, F.col("_r.rule_order").alias("rule_order"), F.col("_r.domain").alias("domain"))
+    few = rules.where("domain is not null and domain <> ''").select("rule_order", "domain")
+    urls = pages.select("url").where("url is not null").distinct()
+    first = urls.join(few, F.contains("url", "domain")).groupBy("url").agg(F.min(F.struct("rule_order", "domain")).alias("_r"))
+    return pages.join(first, "url", "left").select(*[pages[c] for c in pages.columns], F.col("_r.rule_order").alias("rule_order"), F.col("_r.domain").alias("domain"))
 
 
 def safe_name(name: Column) -> Column:

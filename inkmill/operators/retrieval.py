@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkmill.operators.vectors import top_k_of_each
+
 # Words that decide the kind of answer, by falling priority.
 UNSUPPORTED = ["写代码", "编程", "java", "python", "c++", "天气", "股票", "汇率", "现实", "今天", "新闻", "哈利波特", "三体", "金庸", "翻译", "英语", "总结全文"]
 CHARACTER = ["谁", "关系", "性格", "外貌", "长相", "身份", "父亲", "母亲", "师傅", "徒弟", "主角", "配角", "妻子", "丈夫", "兄弟", "姐妹"]
@@ -56,6 +58,21 @@ def unhydrated(hits: DataFrame, scenes: DataFrame) -> DataFrame:
     return hits.join(scenes.select("novel", "version", "id"), ["novel", "version", "id"], "left_anti")
 
 
+def retrieved(store: DataFrame, scenes: DataFrame, questions: DataFrame, k: int = 5, size: int = 64) -> DataFrame:
+    """The ``k`` most similar scenes of each question, with ``query, question, hit_score`` and the columns of the scene.
+
+    ``store`` has ``vec_row, novel, version, id, embedding``; ``questions`` has ``query, question, embedding`` and may have
+    ``novel`` and ``version``, which limit the search before the best are taken (null or blank ones do not). Vectors
+    without a scene drop out after it; a question without hits has no row.
+    """
+    within = tuple(c for c in ("novel", "version") if c in questions.columns)
+    asked = questions.withColumns({c: F.nullif(F.trim(c), F.lit("")) for c in within})
+    rows = store.select(F.col("vec_row").alias("row"), "embedding", *within)
+    found = top_k_of_each(rows, asked, k, size, within).select("query", F.col("row").alias("vec_row"), F.col("score").alias("hit_score"))
+    hits = hydrate(found.join(store.drop("embedding"), "vec_row"), scenes)
+    return hits.join(questions.select("query", "question"), "query")
+
+
 def within_chapters(scenes: DataFrame, first: int | None = None, last: int | None = None, role: str | None = None) -> DataFrame:
     """Optional filters by chapter range and role; what is None does not filter."""
     for on, cond in ((first, F.col("chapter_index") >= F.lit(first)), (last, F.col("chapter_index") <= F.lit(last)), (role, F.col("metadata.role") == F.lit(role))):

@@ -26,6 +26,8 @@ class Limits:
     code_target: int = 800
     hard: int = 3000
     can_split: int = 1800
+    #: One target for all scenes instead of one by what they hold.
+    fixed: bool = False
     prefix: int = 200
 
 
@@ -69,7 +71,7 @@ def scene_numbers(segments: list[int], kinds: list[int], sizes: list[int], limit
     out, scene, length, held, talk, code, last = [], 0, 0, 0, 0, False, None
     for segment, kind, size in zip(segments, kinds, sizes):
         if segment != last:
-            target = limits.target if not held else limits.code_target if code else limits.dialogue_target if talk / held > 0.5 else limits.target
+            target = limits.target if not held or limits.fixed else limits.code_target if code else limits.dialogue_target if talk / held > 0.5 else limits.target
             if held and (length >= target or length >= limits.hard):
                 scene, length, held, talk, code = scene + 1, 0, 0, 0, False
             held, talk, code, last = held + 1, talk + (kind == DIALOGUE), code or kind == CODE, segment
@@ -92,10 +94,12 @@ def _numbered(paras: DataFrame, limits: Limits, absorb: bool) -> DataFrame:
 
     code = F.when(F.col("kind") == "NARRATION", NARRATION).when(F.col("kind") == "DIALOGUE", DIALOGUE).when(F.col("kind") == "HEADER", HEADER).otherwise(CODE)
     item = F.struct("para_index", "content", "kind", "para_type", code.alias("code"), F.length("content").alias("size"))
-    grouped = paras.where("not is_empty").groupBy("doc", "chapter_index").agg(F.sort_array(F.collect_list(item)).alias("p"))
+    # A chapter's title is its first paragraph that is not empty.
+    title = F.min_by(F.when(F.col("is_title"), F.col("content")).otherwise(F.lit(C.PREFACE)), "para_index")
+    grouped = paras.where("not is_empty").groupBy("doc", "chapter_index").agg(F.sort_array(F.collect_list(item)).alias("p"), title.alias("chapter_title"))
     numbers = fold(F.col("p.code"), F.col("p.para_type"), F.col("p.size"))
-    zipped = grouped.withColumn("numbers", numbers).select("doc", "chapter_index", F.explode(F.arrays_zip("p", "numbers")).alias("z"))
-    return zipped.select("doc", "chapter_index", "z.p.para_index", "z.p.content", "z.p.kind", "z.numbers.segment", "z.numbers.scene")
+    zipped = grouped.withColumn("numbers", numbers).select("doc", "chapter_index", "chapter_title", F.explode(F.arrays_zip("p", "numbers")).alias("z"))
+    return zipped.select("doc", "chapter_index", "chapter_title", "z.p.para_index", "z.p.content", "z.p.kind", "z.numbers.segment", "z.numbers.scene")
 
 
 def prepared(documents: DataFrame, profile: str = "split") -> DataFrame:
@@ -118,9 +122,7 @@ def scenes(documents: DataFrame, profile: str = "split", version: str = "v1", li
 
     The id is a hash of document, version, chapter and first paragraph, so the same text always has the same ids.
     """
-    paras = prepared(documents, profile)
-    titles = C.chapters(P.paragraphs(documents, profile), profile).select("doc", "chapter_index", "chapter_title")
-    n = _numbered(paras, limits, True)
+    n = _numbered(prepared(documents, profile), limits, True)
     by = F.struct("para_index", "content")
     first = F.col("para_index") == F.min("para_index").over(Window.partitionBy("doc", "chapter_index", "segment"))
     rows = n.withColumn("opens", first)
@@ -128,6 +130,7 @@ def scenes(documents: DataFrame, profile: str = "split", version: str = "v1", li
         F.min("para_index").alias("start_para"),
         F.max("para_index").alias("end_para"),
         F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(by)), lambda x: x["content"]), "\n"), F.lit("\n")).alias("text"),
+        F.first("chapter_title").alias("chapter_title"),
         F.sum(F.when(F.col("opens"), 1).otherwise(0)).alias("n_segments"),
         F.sum(F.when(F.col("opens") & (F.col("kind") == "DIALOGUE"), 1).otherwise(0)).alias("n_dialogue"),
     )
@@ -142,8 +145,9 @@ def scenes(documents: DataFrame, profile: str = "split", version: str = "v1", li
         F.when(F.substring(body, -1, 1).isin(END_SIGNS), 1.0).otherwise(0.7).alias("quality_score"),
         T.trim_ascii(F.coalesce(T.tail(F.lag("text").over(w), limits.prefix), F.lit(""))).alias("prefix_context"),
         F.lit(version).alias("version"),
+        "chapter_title",
     )
-    return out.join(titles, ["doc", "chapter_index"])
+    return out
 
 
 def first_scenes(frame: DataFrame, n: int, key: str = "doc") -> DataFrame:

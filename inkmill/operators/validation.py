@@ -1,5 +1,7 @@
 """Checks of scenes, as frames of violations."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def length_violations(scenes: DataFrame, shortest: int = 50, longest: int = 2000
     return scenes.select("id", severity.alias("severity"), message.alias("message")).where("severity is not null")
 
 
+def combined(*results: DataFrame) -> DataFrame:
+    """The violations of several validators as one frame: what is an error in any of them is one in the whole."""
+    return reduce(DataFrame.unionByName, results)
+
+
 def summary(violations: DataFrame) -> DataFrame:
     """``(severity, n)``."""
     return violations.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))

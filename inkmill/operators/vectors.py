@@ -4,11 +4,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Query vectors sent to the tasks at once.
-QUERY_BLOCK = 4096
+#: Vectors of a packed block.
+BLOCK = 2048
 
 
 def latest(store: DataFrame, key: str, at: str, row: str) -> DataFrame:
@@ -17,10 +17,28 @@ def latest(store: DataFrame, key: str, at: str, row: str) -> DataFrame:
     return store.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(keep.alias("x")).select("x.*")
 
 
-def upsert(store: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``store`` with the rows of ``new`` in place of those with the same key; of equal new keys one stays."""
+def upsert(store: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``store`` with the rows of ``new`` in place of those with the same key; of equal new keys one stays.
+
+    Where a column of ``keep`` is null in a new row, what the old one (the smallest, if several) has there stays.
+    """
     fresh = new.where(F.col(key).isNotNull()).dropDuplicates([key])
-    return store.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+    rest = store.join(fresh.select(key), key, "left_anti")
+    if keep:
+        old = store.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.min(c).alias(f"_{c}") for c in keep])
+        fresh = fresh.join(old, key, "left").select(*[F.coalesce(c, f"_{c}").alias(c) if c in keep else F.col(c) for c in new.columns])
+    return rest.unionByName(fresh)
+
+
+def with_vectors(scenes: DataFrame, vectors: DataFrame) -> DataFrame:
+    """A batch to store: ``scenes(id, ..)`` with ``vectors(id, embedding)``; raises unless both have the same number of rows.
+
+    Scenes with a null id go, as do vectors without a scene.
+    """
+    n, m = scenes.count(), vectors.count()
+    if n != m:
+        raise ValueError(f"{n} scenes and {m} vectors")
+    return scenes.where("id is not null").join(vectors, "id")
 
 
 def delete(store: DataFrame, known: tuple[str, ...] = ("novel", "version"), **equal: str) -> DataFrame:
@@ -71,53 +89,61 @@ def top_k(store: DataFrame, query: list[float], k: int, vector: str = "embedding
     return store.select(row, score.alias("score")).orderBy(F.desc("score"), row).limit(max(k, 0))
 
 
-def top_k_of_each(store: DataFrame, queries: DataFrame, k: int, size: int = 64) -> DataFrame:
+def top_k_of_each(store: DataFrame, queries: DataFrame, k: int, size: int = 64, within: tuple[str, ...] = ()) -> DataFrame:
     """``(query, row, score, rank)``: exact top ``k`` of every query vector over all of ``store``.
 
-    ``store`` has ``row, embedding``, ``queries`` has ``query, embedding``; unusable vectors take no part. The queries
-    are the stated set: they go to the tasks in blocks of ``QUERY_BLOCK``, and every task keeps only its best ``k``
-    per query, so what is shuffled is tasks x queries x k rows.
+    ``store`` has ``row, embedding``, ``queries`` has ``query, embedding``; unusable vectors take no part. A column of
+    ``within`` limits a query to the rows that have the same there, unless it is null in the query. The queries are the
+    stated set: both sides are packed into blocks, and each pair of blocks becomes at most ``k`` rows a query, of which
+    only the best ``k`` of a partition are shuffled. The store is read once.
     """
-    usable = store.where(is_usable(F.col("embedding"), size)).select(F.col("row").cast("bigint").alias("row"), F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = queries.where(is_usable(F.col("embedding"), size)).select(F.col("query").cast("bigint").alias("query"), F.col("embedding").cast("array<double>").alias("embedding"))
-    spark = store.sparkSession
-    out = spark.createDataFrame([], "query bigint, row bigint, score double")
-
-    def scan(sent) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            best_s, best_r = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-                rows = b.column("row").to_numpy(zero_copy_only=False)
-                x = x / np.sqrt((x * x).sum(1))[:, None]
-                for at in range(0, len(ids), 256):
-                    part = slice(at, at + 256)
-                    s = np.concatenate([best_s[part], np.round(q[part] @ x.T, 9)], 1)
-                    r = np.concatenate([best_r[part], np.broadcast_to(rows, (s.shape[0], len(rows)))], 1)
-                    order = np.lexsort((r, -s), axis=1)[:, :k]
-                    best_s[part], best_r[part] = np.take_along_axis(s, order, 1), np.take_along_axis(r, order, 1)
-            ok = np.isfinite(best_s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[ok.ravel()], pa.int64()), pa.array(best_r[ok], pa.int64()), pa.array(best_s[ok], pa.float64())], names=["query", "row", "score"])
-
-        return usable.mapInArrow(run, "query bigint, row bigint, score double")
-
-    block: list = []
-    for r in asked.orderBy("query").toLocalIterator() if k > 0 else ():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            out, block = out.unionByName(scan(_sent(spark, block))), []
-    if block:
-        out = out.unionByName(scan(_sent(spark, block)))
+    kept = [F.xxhash64(c) if c in within else F.lit(0) for c in within]
+    usable = store.where(is_usable(F.col("embedding"), size)).select(F.col("row").cast("bigint").alias("row"), F.col("embedding").cast("array<double>").alias("embedding"), F.array(*[x.cast("bigint") for x in kept]).cast("array<bigint>").alias("own"))
+    asked = queries.where(is_usable(F.col("embedding"), size))
+    asked = asked.select(F.col("query").cast("bigint").alias("row"), F.col("embedding").cast("array<double>").alias("embedding"), F.array(*[F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in within]).cast("array<bigint>").alias("own"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCK):
+                part = b.slice(at, BLOCK)
+                x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                own = part.column("own").flatten()
+                free = own.is_null().to_numpy(zero_copy_only=False)
+                fields = [part.column("row").to_numpy(zero_copy_only=False), x / np.sqrt((x * x).sum(1))[:, None], own.fill_null(0).to_numpy(zero_copy_only=False), free]
+                yield pa.RecordBatch.from_arrays([pa.array([f.tobytes()], pa.binary()) for f in fields], names=["rows", "units", "own", "free"])
+
+    packed = "rows binary, units binary, own binary, free binary"
+    few = asked.mapInArrow(pack, packed).select(*[F.col(c).alias(f"q_{c}") for c in ("rows", "units", "own", "free")])
+    pairs = usable.mapInArrow(pack, packed).drop("free").crossJoin(few) if k > 0 else usable.limit(0).mapInArrow(pack, packed).drop("free").crossJoin(few)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                rows, ids = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["q_rows"], np.int64)
+                x, q = np.frombuffer(r["units"]).reshape(-1, size), np.frombuffer(r["q_units"]).reshape(-1, size)
+                score = np.round(q @ x.T, 9)
+                if within:
+                    own, wanted, free = np.frombuffer(r["own"], np.int64).reshape(len(rows), -1), np.frombuffer(r["q_own"], np.int64).reshape(len(ids), -1), np.frombuffer(r["q_free"], bool).reshape(len(ids), -1)
+                    for i in range(len(within)):
+                        score[~free[:, i, None] & (wanted[:, i, None] != own[None, :, i])] = -np.inf
+                who, which = best_of(score, rows, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(rows[which]), pa.array(score[who, which])], names=["query", "row", "score"])
+
     w = Window.partitionBy("query").orderBy(F.desc("score"), "row")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return pairs.mapInArrow(scan, "query bigint, row bigint, score double").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _sent(spark, block: list):
-    q = np.array([r.embedding for r in block], np.float64)
-    return spark.sparkContext.broadcast((np.array([r.query for r in block], np.int64), q / np.sqrt((q * q).sum(1))[:, None]))
+def best_of(score: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Query and column of the ``k`` best finite scores of each query; ties go to the smaller row."""
+    if score.shape[1] > k:
+        edge = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k, None]
+        who, which = np.nonzero((score >= edge) & np.isfinite(score))
+    else:
+        who, which = np.nonzero(np.isfinite(score))
+    order = np.lexsort((rows[which], -score[who, which], who))
+    who, which = who[order], which[order]
+    nth = np.arange(len(who)) - np.searchsorted(who, who)
+    return who[nth < k], which[nth < k]
 
 
 def hashed_embedding(texts: DataFrame, size: int = 64) -> DataFrame:
@@ -138,10 +164,27 @@ def hashed_embedding(texts: DataFrame, size: int = 64) -> DataFrame:
 def character_ids(texts: DataFrame, vocabulary: DataFrame, unknown: int = 100, start: int = 101, end: int = 102, longest: int = 512) -> DataFrame:
     """``(doc, ids, n)``: start id, one id a character up to the longest size, end id; ``n`` counts them.
 
-    ``vocabulary`` has ``token, id``. Null texts have no row; empty ones only start and end.
+    ``vocabulary`` has ``token, id``; only tokens of one character count, so what is sent to the tasks is bounded by the
+    number of code points. Null texts have no row; empty ones only start and end.
     """
-    chars = F.slice(F.split("text", ""), 1, longest - 2)
-    pos = texts.where("text is not null").select("doc", F.posexplode_outer(F.when(F.col("text") != "", chars)).alias("pos", "token"))
-    ids = pos.join(vocabulary, "token", "left").groupBy("doc").agg(F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id"))))).alias("x"))
-    out = F.concat(F.array(F.lit(start)), F.transform("x", lambda x: x["id"]), F.array(F.lit(end)))
-    return ids.select("doc", out.alias("ids"), F.size(out).alias("n"))
+    ids = np.full(0x110000, unknown, np.int64)
+    known = vocabulary.where(F.length("token") == 1).select(F.ascii("token").alias("point"), F.col("id").cast("bigint").alias("id")).groupBy("point").agg(F.min("id").alias("id")).toArrow()
+    ids[known.column("point").to_numpy()] = known.column("id").to_numpy()
+    sent = texts.sparkSession.sparkContext.broadcast(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text in b.column("text").to_pylist():
+                points = np.frombuffer(text[: longest - 2].encode("utf-32-le", "surrogatepass"), np.uint32)
+                out.append(np.concatenate([[start], sent.value[points], [end]]))
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(out, pa.list_(pa.int32())), pa.array([len(x) for x in out], pa.int32())], names=["doc", "ids", "n"])
+
+    return texts.where("text is not null").select("doc", "text").mapInArrow(run, f"doc {texts.schema['doc'].dataType.simpleString()}, ids array<int>, n int")
+
+
+def vocabulary_of(spark: SparkSession, path: str) -> DataFrame:
+    """``(token, id)`` of a JSON file: a tokenizer's ``model.vocab``, a ``vocab``, or the map itself; a missing file raises."""
+    whole = spark.read.text(path, wholetext=True).select("value")
+    of = lambda at: F.from_json(F.get_json_object("value", at), "map<string,bigint>")
+    return whole.select(F.explode(F.coalesce(of("$.model.vocab"), of("$.vocab"), F.from_json("value", "map<string,bigint>"))).alias("token", "id"))

@@ -202,20 +202,36 @@ def token_count(s, d):
     return _scenes(s, d).select("scene_row", T.token_count(F.col("text")).alias("tokens"), T.web_token_estimate(F.col("text")).alias("web_tokens"))
 
 
-def _hits(s, d) -> DataFrame:
-    """Top hits of the chunk of every hundredth scene, with their scenes; its chapter's title is the question."""
+_OF_SCENE = ["scene_row", "id", "novel", "version", "chapter_title", "chapter_index", "start_paragraph", "end_paragraph", "text", "word_count", "metadata.characters"]
+
+
+def _asked(s, d) -> DataFrame:
+    """Every hundredth scene asks with its chapter's title and its chunk's vector, if that is live."""
     live = _usable(s, d).select("vec_row", "novel", "version", F.col("chunk_id").alias("id"), "embedding")
-    scenes = _scenes(s, d).select("scene_row", "id", "novel", "version", "chapter_title", "chapter_index", "start_paragraph", "end_paragraph", "text", "word_count", "metadata.characters")
-    asked = R.hydrate(live, scenes.where(F.col("scene_row") % ASK_EVERY == 0)).select(F.col("scene_row").alias("query"), F.coalesce("chapter_title", F.lit("")).alias("question"), "embedding")
-    found = E.top_k_of_each(live.select(F.col("vec_row").alias("row"), "embedding"), asked, TOP).select("query", F.col("row").alias("vec_row"), F.col("score").alias("hit_score"))
-    rows = R.hydrate(found.join(live.drop("embedding"), "vec_row"), scenes)
-    return rows.join(asked.select("query", "question"), "query").withColumn("score", F.col("hit_score"))
+    rows = _scenes(s, d).select(*_OF_SCENE).where(F.col("scene_row") % ASK_EVERY == 0)
+    return R.hydrate(live, rows).select(F.col("scene_row").alias("query"), F.coalesce("chapter_title", F.lit("")).alias("question"), "embedding", "novel", "version")
+
+
+def _all_questions(s, d) -> DataFrame:
+    """The questions, also those whose scene has no vector."""
+    return _scenes(s, d).where(F.col("scene_row") % ASK_EVERY == 0).select(F.col("scene_row").alias("query"), F.coalesce("chapter_title", F.lit("")).alias("question"))
+
+
+def _hits(s, d, filtered: bool = False) -> DataFrame:
+    live = _usable(s, d).select("vec_row", "novel", "version", F.col("chunk_id").alias("id"), "embedding")
+    asked = _asked(s, d) if filtered else _asked(s, d).drop("novel", "version")
+    return R.retrieved(live, _scenes(s, d).select(*_OF_SCENE), asked, TOP).withColumn("score", F.col("hit_score"))
 
 
 def retrieve(s, d):
     return _hits(s, d).select("query", "vec_row", "scene_row", F.round("hit_score", 6).alias("score"))
 
 
+def retrieve_filtered(s, d):
+    """Within the work and version of the scene that asks."""
+    return _hits(s, d, True).select("query", "vec_row", "scene_row", F.round("hit_score", 6).alias("score"))
+
+
 def rescore(s, d):
     return X.rescored(_hits(s, d)).select("query", "scene_row", F.round("score", 6).alias("score"))
 
@@ -241,26 +257,60 @@ def context_full_text(s, d):
 
 
 def context_stats(s, d):
-    return X.stage_counts(_hits(s, d), _blocks(s, d))
+    hits = _hits(s, d)
+    joined = X.merged(X.deduplicated(X.rescored(hits)))
+    return X.stage_counts(hits, joined, X.within_budget(joined))
 
 
 def prompt_text(s, d):
-    return A.prompts(_blocks(s, d), INSTRUCTION)
+    """A prompt for every question; those without hits have an empty context."""
+    return A.prompts(_blocks(s, d), INSTRUCTION, questions=_all_questions(s, d))
+
+
+def refusals(s, d):
+    """What is said to the questions without context."""
+    return A.with_refusals(_all_questions(s, d), _blocks(s, d)).select("query", "answer.answer", F.size("answer.citations").alias("n_citations"), "answer.confidence")
+
+
+def _written(s, d) -> DataFrame:
+    """``(query, raw)``: texts about the questions and their blocks in the forms answers come in, one of seven a question."""
+    item = F.struct(F.col("rank"), F.col("id").alias("chunkId"), F.round("score", 6).alias("score"))
+    g = _blocks(s, d).groupBy("query").agg(F.first("question").alias("question"), F.sort_array(F.collect_list(item)).alias("b"))
+    cite = F.transform("b", lambda x: F.struct(x["chunkId"].alias("chunkId"), x["score"].alias("score")))
+    q = F.col("question")
+    forms = [
+        F.concat(F.lit("Sure:\n```json\n"), F.to_json(F.struct(q.alias("answer"), cite.alias("citations"), F.lit(0.9).alias("confidence"))), F.lit("\n```\nDone.")),
+        F.concat(F.to_json(F.struct(q.alias("answer"), cite.alias("citations"))), F.lit(" tail")),
+        F.to_json(F.struct(F.struct(q.alias("description")).alias("response"), F.lit(7.0).alias("confidence"))),
+        F.to_json(F.struct(q.alias("content"))),
+        F.to_json(F.struct(q.alias("message"), cite.alias("citations"))),
+        F.to_json(F.struct(F.col("b")[0]["chunkId"].alias("chunk_id"), q.alias("text"))),
+        F.lit("nothing"),
+    ]
+    raw = F.element_at(F.array(*forms), (F.floor(F.col("query") / ASK_EVERY) % len(forms) + 1).cast("int"))
+    return g.select("query", raw.alias("raw"))
 
 
-def mock_answers(s, d):
-    return A.mock_answers(_blocks(s, d)).select("query", "answer.answer", F.size("answer.citations").alias("n_citations"), "answer.confidence")
+def answer_parse(s, d):
+    """Answers in several forms read back; why the others have none."""
+    return _written(s, d).select("query", A.parsed(F.col("raw")).alias("a"), A.failure(F.col("raw")).alias("failure")).select("query", "a.answer", F.size("a.citations").alias("n_citations"), "a.confidence", "failure")
 
 
-def answer_parse(s, d):
-    """Answers as generators write them, fenced and with text around, read back."""
-    raw = A.mock_answers(_blocks(s, d)).select("query", F.concat(F.lit("Sure:\n```json\n"), F.to_json("answer"), F.lit("\n```\nDone.")).alias("raw"))
-    return raw.select("query", A.parsed(F.col("raw")).alias("a")).select("query", "a.answer", F.size("a.citations").alias("n_citations"), "a.confidence")
+def answer_repair(s, d):
+    """Answers read as they are, with nulls, and repaired."""
+    a = F.from_json(F.regexp_extract("raw", r"(?s)(\{.*\})", 1), A.ANSWER)
+    got = _written(s, d).where(F.contains("raw", F.lit("{"))).select("query", A.repaired(a).alias("a"))
+    return got.select("query", "a.answer", F.size("a.citations").alias("n_citations"), "a.confidence")
 
 
 def citation_check(s, d):
+    """Of the chunks that answers cite, those among the question's blocks; every hundredth scene's chunk is cited as well."""
     blocks = _blocks(s, d)
-    return A.checked_citations(A.mock_answers(blocks), blocks).select("query", "n", "id", F.round("score", 6).alias("score"))
+    own = _scenes(s, d).select(F.col("scene_row").alias("query"), "id")
+    read = _written(s, d).select("query", A.parsed(F.col("raw")).alias("answer")).join(own, "query")
+    extra = F.array(F.struct(F.col("id").alias("chunkId"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("double").alias("score")))
+    answers = read.select("query", F.struct(F.concat("answer.citations", extra).alias("citations")).alias("answer"))
+    return A.checked_citations(answers, blocks).select("query", "n", "id", F.round("score", 6).alias("score"))
 
 
 def rule_routing(s, d):
@@ -274,5 +324,5 @@ def crawl_merge(s, d):
 
 NAMES = """paragraphs paragraphs_ingest markdown_types paragraph_kind chapter_titles chapters_split chapters_ingest segments segments_base scenes scenes_ingest scene_limit scene_prefix_context scene_quality
 length_validation validation_summary scene_versions l2_normalize vector_latest vector_count vector_delete vector_upsert vector_topk vector_topk_filtered vector_topk_batch embed_texts tokenizer_ids hydrate_join
-hydrate_missing question_understanding keywords token_count retrieve rescore dedupe merge_adjacent context_blocks context_full_text context_stats prompt_text mock_answers answer_parse citation_check rule_routing crawl_merge""".split()
+hydrate_missing question_understanding keywords token_count retrieve retrieve_filtered rescore dedupe merge_adjacent context_blocks context_full_text context_stats prompt_text refusals answer_parse answer_repair citation_check rule_routing crawl_merge""".split()
 QUERIES = {n: globals()[n] for n in NAMES}

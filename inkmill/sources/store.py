@@ -8,7 +8,10 @@ from inkmill.operators.vectors import delete
 
 
 class Store:
-    """A folder with the tables ``scenes`` and ``vectors``, both with columns ``novel`` and ``version``."""
+    """A folder with the tables ``scenes`` and ``vectors``, both with columns ``novel`` and ``version``.
+
+    Works and versions are strings and come back as they were saved (``007`` stays ``007``); empty ones come back as null.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -28,10 +31,12 @@ class Store:
         """Rows of a work, of a version of it, or all; an empty frame where nothing was saved."""
         if not self._exists(table):
             return self.spark.createDataFrame([], schema or T.StructType([T.StructField("id", T.StringType()), T.StructField("novel", T.StringType()), T.StructField("version", T.StringType())]))
-        frame = self.spark.read.parquet(self._path(table))
-        frame = frame.withColumns({c: F.col(c).cast("string") for c in ("novel", "version")})
+        found = self.spark.read.parquet(self._path(table)).schema
+        # Works and versions are strings whatever they look like: the types of folders are not inferred.
+        texts = T.StructType([T.StructField(f.name, T.StringType()) if f.name in ("novel", "version") else f for f in found])
+        frame = self.spark.read.schema(texts).parquet(self._path(table))
         for k, v in equal.items():
-            frame = frame.where(F.col(k) == v)
+            frame = frame.where(F.col(k).eqNullSafe(F.lit(v)))
         return frame
 
     def versions(self, novel: str, table: str = "scenes") -> DataFrame:
@@ -54,6 +59,8 @@ class Store:
             self.remove(table, **equal)
 
 
-def _escaped(value: str) -> str:
-    """A value as Spark writes it in the name of a partition's folder."""
+def _escaped(value: str | None) -> str:
+    """A value as Spark writes it in the name of a partition's folder; null and empty share one."""
+    if not value:
+        return "__HIVE_DEFAULT_PARTITION__"
     return "".join(f"%{ord(c):02X}" if c in '"#%\'*/:=?\\\x7f{[]^' or ord(c) < 32 else c for c in value)

@@ -17,24 +17,24 @@ def hits(spark, *rows):
     return spark.createDataFrame(full, HIT)
 
 
-@pytest.mark.parametrize("q, kind", [("萧炎的父亲是谁？", "CHARACTER"), ("这本小说和哈利波特比怎么样？", "UNSUPPORTED"), ("萧炎什么时候晋升斗帝？", "TIMELINE"), ("迦南学院在哪里？", "LOCATION"), ("异火榜排名第一是什么？", "FACT"), ("  ", "UNSUPPORTED"), (None, "UNSUPPORTED")])
+@pytest.mark.parametrize("q, kind", [("船夫的师傅叫什么", "CHARACTER"), ("明天的天气好吗", "UNSUPPORTED"), ("渡口何时结冰", "TIMELINE"), ("盐仓位于何处", "LOCATION"), ("铜镜有几面", "FACT"), ("  ", "UNSUPPORTED"), (None, "UNSUPPORTED")])
 def test_answer_policy(spark, q, kind):
     assert spark.createDataFrame([(q,)], "q string").select(R.answer_policy(F.col("q"))).first()[0] == kind
 
 
-@pytest.mark.parametrize("q, now, want", [("上一章发生了什么？", 10, (9, None)), ("这一章有几个人？", 5, (5, None)), ("他说了什么", 8, (None, "dialogue")), ("上一章他说了什么", 20, (19, "dialogue")), ("楚晨是谁？", 10, (None, None)), ("上一章", 0, (0, None))])
+@pytest.mark.parametrize("q, now, want", [("上一章的船去哪了", 7, (6, None)), ("这一章的钟响了吗", 4, (4, None)), ("渡口边他说了什么", 3, (None, "dialogue")), ("上一章里他说了什么", 12, (11, "dialogue")), ("谁拿了灯", 9, (None, None)), ("上一章", 0, (0, None))])
 def test_chapter_range_and_role(spark, q, now, want):
     a, _ = R.chapter_range(F.col("q"), F.col("n"))
     assert tuple(spark.createDataFrame([(q, now)], "q string, n int").select(a, R.asked_role(F.col("q"))).first()) == want
 
 
 def test_keywords(spark):
-    rows = spark.createDataFrame([("萧炎在哪里？abc 12",), ("炎",), ("他 说",), ("",), (None,)], "q string").select(T.keywords(F.col("q"))).collect()
-    assert [r[0] for r in rows] == [["abc", "12", "萧炎", "炎在", "在哪", "哪里"], ["炎"], [], [], []]
+    rows = spark.createDataFrame([("铜镜何在？abc 12",), ("镜",), ("他 说",), ("",), (None,)], "q string").select(T.keywords(F.col("q"))).collect()
+    assert [r[0] for r in rows] == [["abc", "12", "铜镜", "镜何", "何在"], ["镜"], [], [], []]
 
 
 def test_rescore_values(spark):
-    got = {r.id: r.score for r in X.rescored(hits(spark, {"id": "1", "text": "萧炎来了", "question": "萧炎在哪里？"}, {"id": "2", "text": "无", "question": "萧炎在哪里？"}, {"id": "3", "text": None, "score": None})).collect()}
+    got = {r.id: r.score for r in X.rescored(hits(spark, {"id": "1", "text": "铜镜碎了", "question": "铜镜何在？"}, {"id": "2", "text": "无", "question": "铜镜何在？"}, {"id": "3", "text": None, "score": None})).collect()}
     assert got["1"] == pytest.approx(0.32) and got["2"] == pytest.approx(0.30) and got["3"] == 0
 
 
@@ -52,6 +52,15 @@ def test_merge_limits(spark):
     assert X.merged(hits(spark, {"id": "a", "start": 1, "end": 1}, {"id": "b", "start": 2, "end": 2}), 14).count() == 1
     assert X.merged(hits(spark, {"id": "a", "start": 1, "end": 1}, {"id": "b", "start": 2, "end": 2}), 13).count() == 2
     assert X.merged(hits(spark, {"id": "a", "start": 1, "end": 1}, {"id": "b", "start": 2, "end": 2, "novel": "other"}), 900).count() == 2
+    between = X.merged(hits(spark, {"id": "a", "start": 1, "end": 1}, {"id": "b", "start": 2, "end": 2, "novel": "other"}, {"id": "c", "start": 3, "end": 3}), 900).collect()
+    assert sorted(r.merged_ids for r in between) == [["a", "c"], ["b"]]
+
+
+def test_stage_counts(spark):
+    h = hits(spark, {"id": "a", "start": 1, "end": 1}, {"id": "a", "start": 1, "end": 1}, {"id": "b", "start": 2, "end": 2}, {"id": "c", "ch": 5, "text": "y" * 100})
+    joined = X.merged(X.deduplicated(X.rescored(h, False)))
+    got = X.stage_counts(h, joined, X.within_budget(joined, 60)).first().asDict()
+    assert got == {"query": 1, "original": 4, "deduplicated": 3, "merged": 2, "final": 1, "total_tokens": 14, "dropped": 1}
 
 
 def test_budget_skips_and_goes_on(spark):
@@ -66,16 +75,27 @@ def test_budget_skips_and_goes_on(spark):
     assert {(r.id, r.rank) for r in rows} == {("1", 1), ("3", 2)}
 
 
-def test_prompt_answer_and_citations(spark):
-    h = hits(spark, {"id": "chunk-001", "text": "Mr and Mrs Dursley of number four", "question": "Who are the Dursleys?"}, {"id": "chunk-002", "ch": 2, "text": "Nearly ten years had passed"})
+def test_prompt_refusal_and_citations(spark):
+    h = hits(spark, {"id": "k1", "text": "灯塔灭了", "question": "谁灭的灯"}, {"id": "k2", "ch": 2, "text": "守塔人走了"})
     blocks = X.assembled(h, rescore=False)
-    prompt = A.prompts(blocks, "Be brief.", "JSON").first().prompt
-    assert prompt.startswith("=== System Instruction ===\nBe brief.\n\n=== Context ===\n[Block 1 - chunk-001]") and prompt.endswith("=== Output Constraint ===\nJSON")
-    a = A.mock_answers(blocks).first().answer
-    assert [c.chunkId for c in a.citations] == ["chunk-001", "chunk-002"] and 0.6 <= a.confidence <= 0.95 and "Mr" in a.answer
-    checked = A.checked_citations(A.mock_answers(blocks), blocks.where("id <> 'chunk-002'"))
-    assert [r.id for r in checked.collect()] == ["chunk-001"]
-    assert A.out_of_range(A.mock_answers(blocks)).count() == 0
+    questions = spark.createDataFrame([(1, "谁灭的灯"), (2, "没有答案")], "query bigint, question string")
+    prompts = {r["query"]: r.prompt for r in A.prompts(blocks, "Be brief.", "JSON", questions).collect()}
+    assert prompts[1].startswith("=== System Instruction ===\nBe brief.\n\n=== Context ===\n[Block 1 - k1]") and prompts[1].endswith("=== Output Constraint ===\nJSON")
+    assert "=== Context ===\n\n\n=== User Question ===\n没有答案" in prompts[2]
+    assert [(r["query"], r.answer.answer, r.answer.citations, r.answer.confidence) for r in A.with_refusals(questions, blocks).collect()] == [(2, A.REFUSAL, [], 0.0)]
+    raw = '{"answer": "a", "citations": [{"chunkId": "k2"}, {"chunkId": "other"}, {"chunkId": null}], "confidence": 1.5}'
+    answers = spark.createDataFrame([(1, raw)], "query bigint, raw string").select("query", A.parsed(F.col("raw")).alias("answer"))
+    assert [(r.n, r.id) for r in A.checked_citations(answers, blocks).collect()] == [(0, "k2")]
+    assert A.out_of_range(answers).count() == 1
+
+
+def test_failures_and_repair(spark):
+    rows = spark.createDataFrame([('{"answer": "a"}',), ('{"chunk_id": "x"}',), ("no",), ("",), (None,)], "r string")
+    assert [r[0] for r in rows.select(A.failure(F.col("r"))).collect()] == [None, "chunk", "no answer", "empty", "empty"]
+    fixed = rows.limit(2).select(A.repaired(F.from_json("r", A.ANSWER)).alias("a")).collect()
+    assert [(r.a.answer, r.a.citations, r.a.confidence) for r in fixed] == [("a", [], 0.0), (A.NO_ANSWER, [], 0.0)]
+    with pytest.raises(Exception, match="no answer"):
+        rows.select(A.repaired(F.from_json(F.lit(None).cast("string"), A.ANSWER))).collect()
 
 
 @pytest.mark.parametrize(
@@ -101,3 +121,13 @@ def test_hydration(spark):
     found = spark.createDataFrame([(7, "x", "n", "v"), (8, "z", "n", "v"), (9, "y", "n", None)], "hit bigint, id string, novel string, version string")
     assert [(r.hit, r.scene_row) for r in R.hydrate(found, scenes).collect()] == [(7, 1)]
     assert sorted(r.hit for r in R.unhydrated(found, scenes).collect()) == [8, 9]
+
+
+def test_retrieval_filters_before_taking_the_best(spark):
+    v = [[1.0, 0.0], [0.9, 0.1], [0.8, 0.2], [0.0, 1.0]]
+    store = spark.createDataFrame([(i, "nm"[i % 2], "v", f"s{i}", v[i]) for i in range(4)], "vec_row bigint, novel string, version string, id string, embedding array<float>")
+    scenes = spark.createDataFrame([(10 + i, "nm"[i % 2], "v", f"s{i}") for i in range(3)], "scene_row bigint, novel string, version string, id string")
+    asked = spark.createDataFrame([(1, "q", [1.0, 0.0], "m", None), (2, "q", [1.0, 0.0], " ", "v"), (3, "q", [1.0, 0.0], "none", "v"), (4, "q", None, None, None)], "query bigint, question string, embedding array<float>, novel string, version string")
+    got = sorted((r["query"], r.scene_row) for r in R.retrieved(store, scenes, asked, 2, 2).collect())
+    assert got == [(1, 11), (2, 10), (2, 11)]  # the second best of question 1 has no scene
+    assert len(R.retrieved(store, scenes, asked.drop("novel", "version"), size=2).where("query = 1").collect()) == 3

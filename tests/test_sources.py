@@ -37,6 +37,18 @@ def test_store_round_trip(spark, tmp_path):
     assert {r.id for r in store.load().collect()} == {"2"}
 
 
+def test_store_keeps_names_as_they_are(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.save(spark.createDataFrame([("1", "007", "1.0"), ("2", "7", "1.0"), ("3", None, "2024-01-01"), ("4", "x=y/z", "")], "id string, novel string, version string"))
+    assert {(r.id, r.novel, r.version) for r in store.load().collect()} == {("1", "007", "1.0"), ("2", "7", "1.0"), ("3", None, "2024-01-01"), ("4", "x=y/z", None)}
+    assert [r.id for r in store.load(novel="007").collect()] == ["1"]
+    store.remove(novel="007")
+    assert {r.id for r in store.load().collect()} == {"2", "3", "4"}
+    store.remove(novel=None)
+    store.remove(novel="x=y/z", version=None)
+    assert {r.id for r in store.load().collect()} == {"2"}
+
+
 def test_streamed_texts_become_scenes(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "one.txt").write_text("第1章 a\n正文\n第2章 b\n正文二")
@@ -53,6 +65,7 @@ def test_routing_and_merging(spark):
     pages = spark.createDataFrame([(1, "https://b.test/x"), (2, "https://none/"), (3, None)], "crawl_id bigint, url string")
     rules = spark.createDataFrame([(2, "b.test"), (1, "test/x"), (3, None)], "rule_order int, domain string")
     assert {(r.crawl_id, r.rule_order) for r in W.routed(pages, rules).collect()} == {(1, 1), (2, None), (3, None)}
+    assert W.routed(pages.unionAll(pages), rules).count() == 6
     assert W.routed(pages, rules.limit(0)).where("rule_order is null").count() == 3
     tries = spark.createDataFrame([("n:1", 1, "A", None, False, 1), ("n:1", 1, "A", "text", True, 2), ("n:1", 2, None, None, False, 3), (None, 1, "x", "y", True, 4)], "novel string, chapter_index int, title string, content string, success boolean, crawl_id bigint")
     row = W.merged_works(tries).collect()

@@ -44,10 +44,34 @@ def test_keeping_and_deleting(spark):
     assert E.delete(t).count() == 3
     with pytest.raises(ValueError):
         E.delete(t, colour="red")
+    kept = E.upsert(spark.createDataFrame([("a", 1, "m"), ("b", 2, "o")], "k string, v int, meta string"), spark.createDataFrame([("a", 9, None), ("b", 8, "p"), ("c", 7, None)], "k string, v int, meta string"), "k", ("meta",))
+    assert {tuple(r) for r in kept.collect()} == {("a", 9, "m"), ("b", 8, "p"), ("c", 7, None)}
     s = spark.createDataFrame([("a", 1, 5), ("a", 1, 7), ("a", 0, 9), (None, 1, 1)], "k string, at int, row int")
     assert [tuple(r) for r in E.latest(s, "k", "at", "row").collect()] == [("a", 1, 7)]
 
 
+def test_a_batch_of_scenes_and_vectors(spark):
+    scenes = spark.createDataFrame([("a", 1), (None, 2)], "id string, x int")
+    vectors = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "id string, embedding array<float>")
+    assert [tuple(r) for r in E.with_vectors(scenes, vectors).collect()] == [("a", 1, [1.0])]
+    with pytest.raises(ValueError, match="2 scenes and 1 vectors"):
+        E.with_vectors(scenes, vectors.limit(1))
+
+
+def test_best_of_ties():
+    score = np.array([[0.5, 0.9, 0.5, 0.5, -np.inf], [-np.inf] * 5])
+    who, which = E.best_of(score, np.array([9, 8, 3, 4, 1]), 2)
+    assert who.tolist() == [0, 0] and which.tolist() == [1, 2]
+
+
+@pytest.mark.parametrize("text", ['{"model": {"vocab": {"一": 5, "ab": 6}}}', '{"vocab": {"一": 5, "ab": 6}}', '{"一": 5, "ab": 6}'])
+def test_vocabularies(spark, tmp_path, text):
+    (tmp_path / "v.json").write_text(text)
+    assert {tuple(r) for r in E.vocabulary_of(spark, str(tmp_path / "v.json")).collect()} == {("一", 5), ("ab", 6)}
+    got = E.character_ids(spark.createDataFrame([(1, "一😀")], "doc bigint, text string"), E.vocabulary_of(spark, str(tmp_path / "v.json"))).first()
+    assert got.ids == [101, 5, 100, 102] and got.n == 4
+
+
 def test_hashed_embedding_is_unit_and_deterministic(spark):
     t = spark.createDataFrame([(1, "你好世界"), (2, "你好世界"), (3, "再见"), (4, "x"), (5, None), (6, "")], "doc bigint, text string")
     v = {r.doc: r.embedding for r in E.hashed_embedding(t).collect()}
