@@ -248,22 +248,67 @@ def encode_array(column: pa.Array, encoder: Encoder) -> pa.Array:
     return pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))
 
 
-def with_ids(frame: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
+@lru_cache(4)
+def _spelled(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all tokens one after the other, by id, and where each begins."""
+    by_id = _by_id(path)
+    sizes = np.zeros(max(by_id) + 2, np.int64)
+    for i, w in by_id.items():
+        sizes[i + 1] = len(w)
+    return np.frombuffer(b"".join(by_id.get(i, b"") for i in range(len(sizes) - 1)), np.uint8), np.cumsum(sizes)
+
+
+def token_starts(ids: pa.ListArray, path: str) -> pa.Array:
+    """Where each token begins in the UTF-8 bytes of its text."""
+    begins = _spelled(path)[1]
+    flat, at = ids.flatten().to_numpy(), ids.offsets.to_numpy().astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(begins[flat + 1] - begins[flat])])
+    return pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), pa.array(ends[:-1] - np.repeat(ends[at[:-1] - at[0]], np.diff(at)), pa.int32()))
+
+
+def decode_array(ids: pa.ListArray, path: str) -> pa.Array:
+    """The text of each list of ids: token bytes gathered at the tokens' offsets; null stays null."""
+    pool, begins = _spelled(path)
+    flat, at = ids.flatten().to_numpy(zero_copy_only=False), ids.offsets.to_numpy().astype(np.int64)
+    size = begins[flat + 1] - begins[flat]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    raw = pool[np.repeat(begins[flat] - ends[:-1], size) + np.arange(ends[-1])]
+    cut = ends[at - at[0]]
+    valid = None if not ids.null_count else pa.py_buffer(np.packbits(~codepoints.is_null(ids), bitorder="little"))
+    return pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(raw)), valid).cast(pa.string())
+
+
+def with_ids(frame: DataFrame, path: str, text: str = "text", into: str = "ids", begins: str | None = None) -> DataFrame:
     """Replace ``text`` by ``into``, its token ids (array of int); other columns stay as they are.
 
-    Null and empty texts have an empty list; special tokens' strings are ordinary text; repeated rows come out again.
+    With ``begins`` a column of that name says where each token begins in the UTF-8 bytes of the text. Null and empty
+    texts have empty lists; special tokens' strings are ordinary text; repeated rows come out again.
     """
-    names = [x for x in frame.columns if x not in (text, into)]
-    schema = T.StructType([*[frame.schema[x] for x in names], T.StructField(into, T.ArrayType(T.IntegerType()))])
+    made = [into] if begins is None else [into, begins]
+    names = [x for x in frame.columns if x not in (text, *made)]
+    schema = T.StructType([*[frame.schema[x] for x in names], *[T.StructField(x, T.ArrayType(T.IntegerType())) for x in made]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*[b.column(x) for x in names], encode_array(b.column(text), encoder)], names=[*names, into])
+            ids = encode_array(b.column(text), encoder)
+            yield pa.RecordBatch.from_arrays([*[b.column(x) for x in names], ids, *([] if begins is None else [token_starts(ids, path)])], names=[*names, *made])
 
     return frame.select(*names, text).mapInArrow(run, schema)
 
 
+def with_text(frame: DataFrame, path: str, ids: str = "ids", into: str = "text") -> DataFrame:
+    """Replace ``ids`` by the text they stand for; an empty list is an empty text, null stays null."""
+    names = [x for x in frame.columns if x not in (ids, into)]
+    schema = T.StructType([*[frame.schema[x] for x in names], T.StructField(into, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*[b.column(x) for x in names], decode_array(b.column(ids), path)], names=[*names, into])
+
+    return frame.select(*names, ids).mapInArrow(run, schema)
+
+
 def decode_ids(ids: list[int], path: str) -> str:
     """The text of ``ids``."""
     by_id = _by_id(path)

@@ -57,9 +57,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _decoded(spark: SparkSession, d: str) -> DataFrame:
     """Scene texts and crawled titles; versions of one text share a place."""
-    place = F.xxhash64("novel", "chapter_index")
-    scenes = table(spark, d, "scenes").select(F.lit("scenes").alias("tab"), F.col("scene_row").alias("row"), F.xxhash64("novel", "chapter_index", "start_paragraph").alias("place"), "text")
-    return scenes.unionByName(table(spark, d, "crawl_chapters").select(F.lit("crawl_chapters").alias("tab"), F.col("crawl_id").alias("row"), place.alias("place"), F.col("title").alias("text")))
+    # Rows that lack a part of the place have none.
+    place = lambda *c: F.when(F.concat(*[F.col(x).cast("string") for x in c]).isNotNull(), F.xxhash64(*c)).alias("place")
+    scenes = table(spark, d, "scenes").select(F.lit("scenes").alias("tab"), F.col("scene_row").alias("row"), place("novel", "chapter_index", "start_paragraph"), "text")
+    return scenes.unionByName(table(spark, d, "crawl_chapters").select(F.lit("crawl_chapters").alias("tab"), F.col("crawl_id").alias("row"), place("novel", "chapter_index"), F.col("title").alias("text")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -80,6 +81,11 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.with_ids(table(spark, d, "documents").select("doc_id", "text"), vocabulary_path())
 
 
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Texts decoded from their ids."""
+    return bpe.with_text(p6_ids(spark, d), vocabulary_path())
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     documents = _documents(spark, d)
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("item"), "text", "lang")
@@ -98,4 +104,4 @@ def p8_masked(spark: SparkSession, d: str) -> DataFrame:
     return pii.masked(_documents(spark, d)).select(F.col("doc").alias("doc_id"), "text", "values")
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_sentences": p2_sentences, "p3_found": p3_found, "p3_form": p3_form, "p4_found": p4_found, "p5_found": p5_found, "p5_restored": p5_restored, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_masked": p8_masked}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_sentences": p2_sentences, "p3_found": p3_found, "p3_form": p3_form, "p4_found": p4_found, "p5_found": p5_found, "p5_restored": p5_restored, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p8_found": p8_found, "p8_masked": p8_masked}

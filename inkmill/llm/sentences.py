@@ -1,7 +1,7 @@
 """Sentences across languages and scripts (problem 2).
 
 Method: sentence-break rules on character properties. A line end always ends a sentence. Within a line, a run of the
-terminators of any script (property Sentence_Terminal, plus half- and full-width forms) is a candidate; what is before
+terminators of any script (property Sentence_Terminal, by which the marks are found) is a candidate; what is before
 and after it decides: abbreviations and initials of the languages, numbers, list numbers, headings, versions and names
 of files suppress a full stop; text inside matched quotation marks, brackets and title marks is never split; a closing
 quotation mark right after a terminator ends the sentence too, unless the clause that reports the speech follows.
@@ -21,22 +21,32 @@ from pyspark.sql import DataFrame
 from inkmill.llm import codepoints
 from inkmill.llm.canonical import LOOKALIKES
 
-# Full stop and question or exclamation marks of the scripts.
-MARKS = ".!?։؟۔܀܁܂߹।॥၊။።፧፨᙮᠃᠉⁇⁈⁉‼‽⸮。꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫︒﹒﹖﹗！．？｡"
-STRONG = "".join(c for c in MARKS if c not in ".．﹒")
+#: All code points of property Sentence_Terminal, and marks of lesser pauses that end sentences in their scripts.
+MARKS = "".join(dict.fromkeys(regex.findall(r"\p{STerm}", "".join(chr(c) for a, b in ((0, 0xD800), (0xE000, 0x20000)) for c in range(a, b))) + list("፨᠃᠉꓿‼︒")))
+#: Those that are full stops by look, which abbreviations and numbers have as well.
+WEAK = ".．﹒․"
+STRONG = "".join(c for c in MARKS if c not in WEAK)
 # Opening and closing marks that belong together.
 PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "《": "》", "〈": "〉", "（": "）", "(": ")", "[": "]", "【": "】", "〔": "〕", "｢": "｣", "‘": "’", "〝": "〞〟", "{": "}", "［": "］"}
 QUOTES = set("”“»›」』｣〞〟’\"＂")
 # Abbreviations (without the point) that a name or number follows, so that they end no sentence.
 TITLES = set(
-    "mr mrs ms dr prof capt st sr sra srta jr gen col lt sgt rev hon mme mlle m mm mgr me vol pp p no nr nos fig ch sec ed eds op cf vs ca bzw vgl bd s str hr fr hrn frl z zt u d h g e i b art abs kap lic ing av avda núm ud uds ул пер пл пр просп г гг им д кв стр т тт с рис табл гл др проф св корп руб тыс млн р о оз стр п пп डॉ श्री प्रो เมื่อพ ค ศ พ ม ธ ด".split()
+    "mr mrs ms dr prof capt st sr sra srta jr gen col lt sgt rev hon mme mlle m mm mgr me vol pp p no nr nos fig ch sec ed eds op cf vs ca bzw vgl bd s str hr fr hrn frl z zt u d h g e i b art abs kap lic ing av avda núm ud uds ул пер пл пр просп г гг им д кв стр т тт с рис табл гл др проф св корп руб тыс млн р о оз стр п пп डॉ श्री प्रो".split()
 )
+# Abbreviations that only a number follows, and those of months, which a number or a year follows.
+BEFORE_NUMBER = set("no nos fig sec art ch".split())
+MONTHS = set("jan feb mar apr jun jul aug sep sept oct nov dec янв февр апр авг сент окт нояб дек ene abr ago dic janv févr avr juil déc okt dez".split())
+# Words by which a line is English; there these abbreviations of other languages are words.
+_ENGLISH = regex.compile(r"\b(?:the|and|of|was|with|that|he|she|they|we|you|his|her|is|are|come|not)\b", regex.I)
+ENGLISH_WORDS = {"me", "art", "d", "h", "fr", "do"}
+
 # Abbreviations that may close a sentence: over only if what follows begins one.
 OPEN_END = set("etc a.m p.m am pm usw u.s.w z.b d.h i.e e.g lb oz kg inc ltd co corp bros dept approx ib ibid etw ggf evtl bspw dgl ff т.е т.д т.п т.к и.т.д p.ej ej".split())
 _RUN = re.compile(f"[{re.escape(MARKS)}](?:[{re.escape(MARKS)}…])*")
 _LATIN = {ord(x.lower()): c.lower() for c, xs in LOOKALIKES.items() for x in xs if c.isascii() and c.isalpha()}
 _ELLIPSIS = re.compile(r"\.{2,}$|．{2,}$")
 _WORD = regex.compile(r"[\p{L}\p{M}.]*[\p{L}\p{M}]$")
+_NUMERAL = re.compile(r"\s*(?:[IVXLC]+\b|[A-Z]\b|[#№])")
 _HIDDEN = regex.compile(r"\p{Cf}")
 _KNOWN = regex.compile(r"[\p{L}\p{N}]")
 _THAI = re.compile("(?<=[\u0e01-\u0e3a\u0e40-\u0e4e])[ \u00a0\u2000-\u200a\u202f\u205f\u3000]+(?=[\u0e01-\u0e3a\u0e40-\u0e4e])")
@@ -110,6 +120,12 @@ def _stop_ends(line: str, i: int, j: int) -> bool:
     tail = low.rsplit(".", 1)[-1]
     if low in OPEN_END or (tail in OPEN_END and "." in low):
         return following.isupper() or not following.isalnum() or bool(_CJK.match(following))
+    if low in MONTHS and following.isdigit():
+        return False
+    if low in BEFORE_NUMBER and not (following.isdigit() or _NUMERAL.match(after)):
+        return not following.islower()
+    if low in ENGLISH_WORDS and len(low) > 1 and following.isupper() and _ENGLISH.search(before[: -len(text) - 1]):
+        return True
     if text and (low in TITLES or tail in TITLES and "." in low) and not (len(tail) > 1 and following and not following.isalnum()):
         return False
     if len(tail) == 1 and text[-1:].isupper():
@@ -142,7 +158,7 @@ def sentences_of_line(line: str) -> list[tuple[int, int]]:
         run = m[0]
         if _ELLIPSIS.match(run) and len(run) > 1 and not any(c in STRONG for c in run):
             continue
-        if run[0] in ".．﹒" and len(run) == 1 and not _stop_ends(seen, i, j):
+        if run[0] in WEAK and len(run) == 1 and not _stop_ends(seen, i, j):
             continue
         held = inside(i)
         if held is None:

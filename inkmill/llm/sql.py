@@ -20,6 +20,7 @@ cases as (select distinct scene_row, line_no::int as line_no from norm join freq
 
 ORACLES = {
     "p1_found": _P1 + "select scene_row, line_no from cases",
+    "p6_decoded": "select doc_id, coalesce(text, '') as text from documents",
     "p1_clean": _P1
     + """, gone as (select scene_row, list(line_no) as gone from cases group by scene_row)
 select s.scene_row,

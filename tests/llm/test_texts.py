@@ -7,6 +7,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from inkmill.llm import bpe, canonical, codepoints, leaks, mojibake, sentences
 from inkmill.llm.queries import p3_found, vocabulary_path
@@ -32,6 +33,10 @@ from inkmill.llm.queries import p3_found, vocabulary_path
         ("हم डॉ. राम से मिले। क्या वह गया? हाँ॥", ["हم डॉ. राम से मिले।", "क्या वह गया?", "हाँ॥"]),
         ("دفع 1.5 دينارا. هل رجع؟ نعم.", ["دفع 1.5 دينارا.", "هل رجع؟", "نعم."]),
         ("17．他走了。", ["17．他走了。"]),
+        ("He left in Jan. 2020. Snow fell.", ["He left in Jan. 2020.", "Snow fell."]),
+        ("No. He left. See No. 12 and Fig. IV there.", ["No.", "He left.", "See No. 12 and Fig. IV there."]),
+        ("Come with me. We left the house.", ["Come with me.", "We left the house."]),
+        ("𑄌𑄋𑄴𑄟𑅁 𑄌𑄋𑄴𑄟𑅁", ["𑄌𑄋𑄴𑄟𑅁", "𑄌𑄋𑄴𑄟𑅁"]),
         ("……", []),
         ("  上一章 ← 目录 → 下一章  ", ["上一章 ← 目录 → 下一章"]),
     ],
@@ -40,6 +45,14 @@ def test_sentences_of_a_line(line, want):
     assert [line[a:b] for a, b in sentences.sentences(line)] == want
 
 
+def test_every_terminator_of_every_script_ends_a_sentence():
+    marks = sentences.regex.findall(r"\p{STerm}", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))
+    assert len(marks) > 140
+    for m in marks:
+        line = f"漢字{m}漢字"
+        assert [line[a:b] for a, b in sentences.sentences(line)] == [f"漢字{m}", "漢字"], hex(ord(m))
+
+
 def test_sentences_frame(spark):
     docs = spark.createDataFrame([(1, "一。\r\n二\n\n***\n三！四", 9), (2, None, 9), (3, "", 9), (1, "甲。", 9)], "doc bigint, text string, n int")
     rows = sorted((r.doc, r.n, r.start_pos, r.end_pos) for r in sentences.split_sentences(docs).collect())
@@ -87,6 +100,11 @@ def test_tokens_are_those_of_the_public_tokenizer(spark):
         assert bpe.decode_ids(ids, vocabulary_path()) == (text or "")
     frame = spark.createDataFrame([(1, "héllo wörld", 5), (2, None, 5), (3, "", 5), (1, "héllo wörld", 5)], "doc bigint, text string, ids int")
     rows = bpe.with_ids(frame, vocabulary_path()).collect()
+    both = bpe.with_ids(frame.select("doc", "text"), vocabulary_path(), begins="at")
+    for r in bpe.with_text(both.withColumn("same", F.col("ids")), vocabulary_path(), "same").collect():
+        spelled = r.text.encode()
+        assert r.text == (r.text and "héllo wörld") and len(r["at"]) == len(r.ids)
+        assert [bpe.decode_ids([i], vocabulary_path()).encode() for i in r.ids] == [spelled[a:b] for a, b in zip(r["at"], [*r["at"][1:], len(spelled)])]
     assert sorted((r.doc, r.ids) for r in rows) == sorted([(1, public.encode_ordinary("héllo wörld"))] * 2 + [(2, []), (3, [])])
 
 
