@@ -32,11 +32,11 @@ from inkmill.llm.blas import one_thread
 from inkmill.sources.tables import materialise
 
 #: Vectors of a cell and of a part of it, and how many parts of a cell a query scans.
-TOP, CELL, PARTS = 4096, 256, 5
-SAMPLE, PER_CELL = 20_000, 8
-PROBES = 3
+TOP, CELL, PARTS = 16_384, 256, 4
+SAMPLE, PER_CELL = 20_000, 16
+PROBES = 5
 #: Vectors or queries of a cell that one task takes.
-BLOCK = 16_384
+BLOCK = 49_152
 #: Candidates of a part that are kept, and of a cell that are ranked exactly.
 KEEP, RERANK = 48, 120
 #: The threshold T of the score-aware loss: weight of the parallel error is (d - 1) T^2 / (1 - T^2).
@@ -214,8 +214,8 @@ def _nearest(q: Quantiser, x: np.ndarray, packed: np.ndarray, rows: np.ndarray,
     low, high = np.searchsorted(part[order], np.arange(len(centre))), np.searchsorted(part[order], np.arange(len(centre)), "right")
     reach = min(PARTS, len(centre))
     near, exact = np.full((len(y), k + 1), -1, np.int64), np.full((len(y), k + 1), -2.0)
-    for at in range(0, len(y), 1024):
-        ask = y[at : at + 1024]
+    for at in range(0, len(y), 2048):
+        ask = y[at : at + 2048]
         ask32 = ask.astype(np.float32)
         score = ask32 @ centre.T
         probe = np.argpartition(-score, reach - 1, axis=1)[:, :reach] if reach < len(centre) else np.tile(np.arange(reach), (len(ask), 1))
@@ -245,8 +245,8 @@ def _nearest(q: Quantiser, x: np.ndarray, packed: np.ndarray, rows: np.ndarray,
         names = np.where(found >= 0, rows[found], np.iinfo(np.int64).max)
         best = np.lexsort((names, -np.round(cosine, 12)), axis=1)[:, : k + 1]
         n = best.shape[1]
-        near[at : at + 1024, :n] = np.where(np.take_along_axis(found, best, 1) >= 0, np.take_along_axis(names, best, 1), -1)
-        exact[at : at + 1024, :n] = np.take_along_axis(cosine, best, 1)
+        near[at : at + 2048, :n] = np.where(np.take_along_axis(found, best, 1) >= 0, np.take_along_axis(names, best, 1), -1)
+        exact[at : at + 2048, :n] = np.take_along_axis(cosine, best, 1)
     return near, exact
 
 

@@ -18,7 +18,16 @@ freq as (
 cases as (select distinct scene_row, line_no::int as line_no from norm join freq using (site, line))
 """
 
+# Exact nearest rows; the index is as good as exact where a collection is one cell, as at scale 0.01.
+_P4 = """
+with live as (select vec_row, embedding::double[] as e from vector_store where chunk_id is not null qualify row_number() over (partition by chunk_id order by stored_at desc nulls last, vec_row desc) = 1),
+fine as (select vec_row, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as u from live where len(e) = 64 and len(list_filter(e, lambda x: x is not null and isfinite(x))) = 64 and len(list_filter(e, lambda x: x <> 0)) > 0),
+near as (select a.vec_row as a, b.vec_row as b from fine a join fine b on a.vec_row <> b.vec_row
+  qualify row_number() over (partition by a.vec_row order by round(list_dot_product(a.u, b.u), 12) desc, b.vec_row) <= 5)
+select distinct least(a, b) as row_a, greatest(a, b) as row_b from near"""
+
 ORACLES = {
+    "p4_found": _P4,
     "p1_found": _P1 + "select scene_row, line_no from cases",
     "p6_decoded": "select doc_id, coalesce(text, '') as text from documents",
     "p1_clean": _P1
