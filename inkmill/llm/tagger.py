@@ -9,7 +9,9 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Units of each direction and width of a character's embedding.
-HIDDEN, WIDTH = 32, 20
+HIDDEN, WIDTH = 24, 20
+#: Windows that are tagged side by side.
+TOGETHER = 1536
 #: Slope of the gates' sigmoid, which is 0 and 1 beyond half its inverse.
 SLOPE = 0.2
 
@@ -183,9 +185,10 @@ def emissions(m: Tagger, points: np.ndarray, start: np.ndarray, size: np.ndarray
     Windows run side by side, longest first, so a step works on exactly those that are not over yet.
     """
     h = HIDDEN
+    tags = len(m.out_bias)
     order = np.argsort(-size, kind="stable")
+    begin = (np.cumsum(size) - size).astype(np.int64)[order]
     start, size = start[order], size[order]
-    begin = (np.cumsum(size) - size).astype(np.int64)
     table = m.embed @ m.into + m.bias  # 2 x rows x 4H: what a character adds to the gates
     # Slope and middle of the gates' sigmoid go into the weights. Every gate has an array of its own, so that all steps
     # run over contiguous memory.
@@ -193,37 +196,40 @@ def emissions(m: Tagger, points: np.ndarray, start: np.ndarray, size: np.ndarray
     scale[: 3 * h], middle[: 3 * h] = SLOPE, 0.5
     by_gate = lambda x: np.ascontiguousarray(x.reshape(2, -1, 4, h).transpose(0, 2, 1, 3), np.float32)
     table, again = by_gate(table * scale + middle), by_gate(m.again * scale)
+    out = [np.ascontiguousarray(m.out[:h]), np.ascontiguousarray(m.out[h:])]
     ids = m.vocabulary[points]
-    total = int(size.sum())
-    state = np.empty((total, 2 * h), np.float32)
-    # Buffers are made once: arrays of this size would come from the system anew each step.
-    gate, extra, more = np.empty((4, len(size), h), np.float32), np.empty((len(size), h), np.float32), np.empty((len(size), h), np.float32)
-    for way in (0, 1):
-        hs, cs = np.zeros((len(size), h), np.float32), np.zeros((len(size), h), np.float32)
-        n = len(size)
-        for k in range(int(size[0]) if len(size) else 0):
-            while size[n - 1] <= k:
-                n -= 1
-            off = k if way == 0 else size[:n] - 1 - k
-            char, x, z, hn, c = ids[start[:n] + off], extra[:n], more[:n], hs[:n], cs[:n]
-            enter, forget, leave, fresh = (gate[i, :n] for i in range(4))
-            for i, g in enumerate((enter, forget, leave, fresh)):
-                np.take(table[way, i], char, axis=0, out=g, mode="clip")
-                g += np.matmul(hn, again[way, i], out=x)
-            for g in (enter, forget, leave):
-                np.minimum(np.maximum(g, 0, out=g), 1, out=g)
-            c *= forget
-            c += np.multiply(enter, squash(fresh, x, z), out=enter)
-            np.copyto(hn, c)
-            squash(hn, x, z)
-            hn *= leave
-            state[begin[:n] + off, way * h : (way + 1) * h] = hn
-    emit = state @ m.out + m.out_bias
-    # Back into the order the windows were given in.
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    take = np.repeat(begin[back], size[back]) + np.arange(total) - np.repeat(np.cumsum(size[back]) - size[back], size[back])
-    return emit[take]
+    emit = np.empty((int(size.sum()), tags), np.float32)
+    # Buffers are made once, and no larger than the cache: windows of about one length go together.
+    gate, extra, more = np.empty((4, TOGETHER, h), np.float32), np.empty((TOGETHER, h), np.float32), np.empty((TOGETHER, h), np.float32)
+    state, cell, part = np.empty((TOGETHER, h), np.float32), np.empty((TOGETHER, h), np.float32), np.empty((TOGETHER, tags), np.float32)
+    for low in range(0, len(size), TOGETHER):
+        here, into, sizes = start[low : low + TOGETHER], begin[low : low + TOGETHER], size[low : low + TOGETHER]
+        for way in (0, 1):
+            state[:], cell[:] = 0, 0
+            n = len(sizes)
+            for k in range(int(sizes[0])):
+                while sizes[n - 1] <= k:
+                    n -= 1
+                off = k if way == 0 else sizes[:n] - 1 - k
+                char, x, z, hn, c = ids[here[:n] + off], extra[:n], more[:n], state[:n], cell[:n]
+                enter, forget, leave, fresh = (gate[i, :n] for i in range(4))
+                for i, g in enumerate((enter, forget, leave, fresh)):
+                    np.take(table[way, i], char, axis=0, out=g, mode="clip")
+                    g += np.matmul(hn, again[way, i], out=x)
+                for g in (enter, forget, leave):
+                    np.minimum(np.maximum(g, 0, out=g), 1, out=g)
+                c *= forget
+                c += np.multiply(enter, squash(fresh, x, z), out=enter)
+                np.copyto(hn, c)
+                squash(hn, x, z)
+                hn *= leave
+                at = into[:n] + off
+                if way == 0:
+                    emit[at] = np.matmul(hn, out[0], out=part[:n])
+                else:
+                    emit[at] += np.matmul(hn, out[1], out=part[:n])
+    emit += m.out_bias
+    return emit
 
 
 def best_paths(m: Tagger, emit: np.ndarray, begin: np.ndarray, size: np.ndarray, opens: np.ndarray, closes: np.ndarray) -> np.ndarray:
