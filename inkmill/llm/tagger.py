@@ -1,7 +1,8 @@
 """A character-level bidirectional LSTM with a CRF on top, in numpy: training by back-propagation and batch tagging.
 
-Gates use the piecewise linear sigmoid and cells a rational tanh, in training as in tagging: numpy computes both by a
-few vectorised steps, while its ``tanh`` goes through the mathematical library element by element on most machines.
+Gates use the piecewise linear sigmoid and cells the softsign x / (1 + |x|), in training as in tagging: numpy computes
+both by a few vectorised steps, while its ``tanh`` goes through the mathematical library element by element on most
+machines.
 """
 
 from dataclasses import dataclass
@@ -11,7 +12,7 @@ import numpy as np
 #: Units of each direction and width of a character's embedding.
 HIDDEN, WIDTH = 24, 20
 #: Windows that are tagged side by side.
-TOGETHER = 1536
+TOGETHER = 384
 #: Slope of the gates' sigmoid, which is 0 and 1 beyond half its inverse.
 SLOPE = 0.2
 
@@ -44,25 +45,13 @@ def _gate(x: np.ndarray) -> np.ndarray:
     return np.clip(SLOPE * x + 0.5, 0, 1)
 
 
-def squash(x: np.ndarray, spare: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """A rational tanh in place: x (27 + x^2) / (27 + 9 x^2), which reaches 1 with slope 0 at 3."""
-    np.minimum(np.maximum(x, -3, out=x), 3, out=x)
-    np.multiply(x, x, out=spare)
-    x *= np.add(spare, 27, out=more)
-    spare *= 9
-    spare += 27
-    x /= spare
-    return x
-
-
 def _squash(x: np.ndarray) -> np.ndarray:
-    return squash(x.copy(), np.empty_like(x), np.empty_like(x))
+    return x / (1 + np.abs(x))
 
 
 def _slope(x: np.ndarray) -> np.ndarray:
-    """Derivative of the rational tanh."""
-    sq = np.minimum(x * x, 9)
-    return ((9 - sq) / (9 + 3 * sq)) ** 2
+    """Derivative of the softsign."""
+    return 1 / (1 + np.abs(x)) ** 2
 
 
 def gradients(m: Tagger, ids: np.ndarray, tags: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -182,79 +171,86 @@ def train(m: Tagger, batches, epochs: int, rate: float = 0.012) -> list[float]:
 def emissions(m: Tagger, points: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Scores of every tag at every code point of windows ``[start, start + size)``, one row after the other.
 
-    Windows run side by side, longest first, so a step works on exactly those that are not over yet.
+    ``TOGETHER`` windows run side by side in both directions, longest first, so a step works on exactly those that are
+    not over yet. Scores are kept step by step and brought into the order of the text at the end.
     """
-    h = HIDDEN
-    tags = len(m.out_bias)
+    h, rows = HIDDEN, len(m.embed)
     order = np.argsort(-size, kind="stable")
-    begin = (np.cumsum(size) - size).astype(np.int64)[order]
-    start, size = start[order], size[order]
+    begin = np.cumsum(size) - size
     table = m.embed @ m.into + m.bias  # 2 x rows x 4H: what a character adds to the gates
     # Slope and middle of the gates' sigmoid go into the weights. Every gate has an array of its own, so that all steps
     # run over contiguous memory.
     scale, middle = np.ones(4 * h, np.float32), np.zeros(4 * h, np.float32)
     scale[: 3 * h], middle[: 3 * h] = SLOPE, 0.5
-    by_gate = lambda x: np.ascontiguousarray(x.reshape(2, -1, 4, h).transpose(0, 2, 1, 3), np.float32)
-    table, again = by_gate(table * scale + middle), by_gate(m.again * scale)
-    out = [np.ascontiguousarray(m.out[:h]), np.ascontiguousarray(m.out[h:])]
-    ids = m.vocabulary[points]
-    emit = np.empty((int(size.sum()), tags), np.float32)
-    # Buffers are made once, and no larger than the cache: windows of about one length go together.
-    gate, extra, more = np.empty((4, TOGETHER, h), np.float32), np.empty((TOGETHER, h), np.float32), np.empty((TOGETHER, h), np.float32)
-    state, cell, part = np.empty((TOGETHER, h), np.float32), np.empty((TOGETHER, h), np.float32), np.empty((TOGETHER, tags), np.float32)
+    by_gate = lambda x: np.ascontiguousarray(x.reshape(2, -1, 4, h).transpose(2, 0, 1, 3), np.float32)
+    table, again = by_gate(table * scale + middle).reshape(4, 2 * rows, h), by_gate(m.again * scale)
+    ids = m.vocabulary[points].astype(np.intp)
+    emit = np.empty((int(size.sum()), len(m.out_bias)), np.float32)
+    # Buffers are made once and stay in the cache.
+    buffers = [np.empty(4 * 2 * TOGETHER * h, np.float32) for _ in range(2)]
+    state, cell, spare = (np.empty((2, TOGETHER, h), np.float32) for _ in range(3))
+    out = m.out.reshape(2, h, -1)
     for low in range(0, len(size), TOGETHER):
-        here, into, sizes = start[low : low + TOGETHER], begin[low : low + TOGETHER], size[low : low + TOGETHER]
-        for way in (0, 1):
-            state[:], cell[:] = 0, 0
-            n = len(sizes)
-            for k in range(int(sizes[0])):
-                while sizes[n - 1] <= k:
-                    n -= 1
-                off = k if way == 0 else sizes[:n] - 1 - k
-                char, x, z, hn, c = ids[here[:n] + off], extra[:n], more[:n], state[:n], cell[:n]
-                enter, forget, leave, fresh = (gate[i, :n] for i in range(4))
-                for i, g in enumerate((enter, forget, leave, fresh)):
-                    np.take(table[way, i], char, axis=0, out=g, mode="clip")
-                    g += np.matmul(hn, again[way, i], out=x)
-                for g in (enter, forget, leave):
-                    np.minimum(np.maximum(g, 0, out=g), 1, out=g)
-                c *= forget
-                c += np.multiply(enter, squash(fresh, x, z), out=enter)
-                np.copyto(hn, c)
-                squash(hn, x, z)
-                hn *= leave
-                at = into[:n] + off
-                if way == 0:
-                    emit[at] = np.matmul(hn, out[0], out=part[:n])
-                else:
-                    emit[at] += np.matmul(hn, out[1], out=part[:n])
+        own = order[low : low + TOGETHER]
+        here, sizes = start[own], size[own]
+        running = len(sizes) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0])), "right")  # windows of each step
+        before = np.cumsum(running) - running
+        nth = np.repeat(np.arange(len(running)), running)
+        window = np.arange(len(nth)) - before[nth]
+        chars = np.stack([ids[here[window] + nth], ids[here[window] + sizes[window] - 1 - nth] + rows])
+        scores = np.empty((2, len(nth), out.shape[2]), np.float32)
+        cell[:], state[:] = 0, 0
+        for at, n in zip(before.tolist(), running.tolist()):
+            gate, more = (x[: 8 * n * h].reshape(4, 2, n, h) for x in buffers)
+            np.take(table, chars[:, at : at + n], axis=1, out=gate, mode="clip")
+            c, x, hn = cell[:, :n], spare[:, :n], state[:, :n]
+            gate += np.matmul(hn, again, out=more)
+            np.clip(gate[:3], 0, 1, out=gate[:3])
+            enter, forget, leave, fresh = gate
+            np.abs(fresh, out=x)
+            x += 1
+            fresh /= x
+            fresh *= enter
+            c *= forget
+            c += fresh
+            np.abs(c, out=x)
+            x += 1
+            leave *= c
+            np.divide(leave, x, out=hn)
+            np.matmul(hn, out, out=scores[:, at : at + n])
+        back = before[sizes[window] - 1 - nth] + window
+        emit[begin[own][window] + nth] = scores[0] + np.take(scores[1], back, axis=0)
     emit += m.out_bias
     return emit
 
 
 def best_paths(m: Tagger, emit: np.ndarray, begin: np.ndarray, size: np.ndarray, opens: np.ndarray, closes: np.ndarray) -> np.ndarray:
-    """Tags of the best path of every stretch ``[begin, begin + size)``, 0 elsewhere; they run side by side, longest first.
+    """Tags of the best path of every stretch ``[begin, begin + size)``, 0 elsewhere; ``TOGETHER`` run side by side, longest first.
 
-    ``opens`` and ``closes`` say which stretches begin and end their window; before and after the others is tag 0.
+    ``opens`` and ``closes`` say which stretches begin and end their window; before and after the others is tag 0. The
+    way back looks for the best step only into the tag a path has, so the way there keeps nothing but scores.
     """
-    order = np.argsort(-size, kind="stable")
-    at, size, closes = begin[order], size[order], closes[order]
-    tags = m.change.shape[0]
-    score = np.where(opens[order][:, None], m.first, m.change[0]) + emit[at]
-    back = np.zeros((int(size[0]), len(size), tags), np.int8)
-    n = len(size)
-    for i in range(1, int(size[0])):
-        while size[n - 1] <= i:
-            n -= 1
-        both = score[:n, :, None] + m.change
-        back[i, :n] = both.argmax(1)
-        score[:n] = both.max(1) + emit[at[:n] + i]
-    tag = (score + np.where(closes[:, None], 0, m.change[:, 0])).argmax(1)
     path = np.zeros(len(emit), np.int8)
-    for i in range(int(size[0]) - 1, -1, -1):
-        n = int(np.searchsorted(-size, -i, "left"))
-        path[at[:n] + i] = tag[:n]
-        tag[:n] = back[i, np.arange(n), tag[:n]] if i else tag[:n]
+    order = np.argsort(-size, kind="stable")
+    change, into = m.change[:, :, None], np.ascontiguousarray(m.change.T)
+    for low in range(0, len(order), TOGETHER):
+        own = order[low : low + TOGETHER]
+        at, sizes = begin[own], size[own]
+        running = (len(own) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0])), "right")).tolist()
+        scores = [np.where(opens[own][:, None], m.first, m.change[0]) + emit[at]]
+        for i, n in enumerate(running[1:], 1):
+            last = np.ascontiguousarray(scores[-1][:n].T)
+            scores.append((last[:, None] + change).max(0).T + emit[at[:n] + i])
+        leave = np.where(closes[own][:, None], 0, m.change[:, 0])
+        tag = np.zeros(len(own), np.int64)
+        over = 0  # stretches longer than step i + 1, whose tag is known
+        for i in range(len(running) - 1, -1, -1):
+            n = running[i]
+            tag[over:n] = (scores[i][over:n] + leave[over:n]).argmax(1)
+            path[at[:n] + i] = tag[:n]
+            if i:
+                tag[:n] = (scores[i - 1][:n] + into[tag[:n]]).argmax(1)
+            over = n
     return path
 
 
