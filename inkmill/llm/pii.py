@@ -34,7 +34,7 @@ from inkmill.sources.tables import shared_folder
 #: Lines of the corpus that training may see, and characters of one (a longer one gives a stretch of it, placed by a hash).
 SAMPLE_LINES, LINE_LENGTH = 12_000, 400
 EXAMPLES = 20_000
-EPOCHS = 6
+EPOCHS = 8
 BATCH = 96
 RATE = 0.009
 #: Characters of a window, and how many two neighbours share; longer than any value with its surroundings.

@@ -60,13 +60,13 @@ def gradients(m: Tagger, ids: np.ndarray, tags: np.ndarray, mask: np.ndarray) ->
     h = HIDDEN
     x = m.embed[ids]
     both = np.stack([x, x[:, ::-1]])  # 2 x B x T x W
-    proj = (both.reshape(2, b * t, -1) @ m.into + m.bias).reshape(2, b, t, 4 * h)
+    proj = np.ascontiguousarray((both.reshape(2, b * t, -1) @ m.into + m.bias).reshape(2, b, t, 4 * h).transpose(2, 0, 1, 3))
     live = np.stack([mask, mask[:, ::-1]])[..., None]
     hs, cs = np.zeros((t + 1, 2, b, h), np.float32), np.zeros((t + 1, 2, b, h), np.float32)
     gates, tc = np.zeros((t, 2, b, 4 * h), np.float32), np.zeros((t, 2, b, h), np.float32)
     raw = np.zeros((t, 2, b, h), np.float32)
     for k in range(t):
-        g = proj[:, :, k] + hs[k] @ m.again
+        g = proj[k] + hs[k] @ m.again
         raw[k] = g[..., 3 * h :]
         g[..., : 3 * h] = _gate(g[..., : 3 * h])
         g[..., 3 * h :] = _squash(g[..., 3 * h :])
@@ -114,7 +114,6 @@ def gradients(m: Tagger, ids: np.ndarray, tags: np.ndarray, mask: np.ndarray) ->
     dh_out = np.stack([back[..., :h].transpose(1, 0, 2), back[:, ::-1, h:].transpose(1, 0, 2)], 1)  # T x 2 x B x H
     dh, dc = np.zeros((2, b, h), np.float32), np.zeros((2, b, h), np.float32)
     d_gate = np.zeros((t, 2, b, 4 * h), np.float32)
-    d_again = np.zeros_like(m.again)
     turned = m.again.transpose(0, 2, 1)
     for i in range(t - 1, -1, -1):
         on = live[:, :, i]
@@ -129,11 +128,10 @@ def gradients(m: Tagger, ids: np.ndarray, tags: np.ndarray, mask: np.ndarray) ->
         open_gates = g[..., : 3 * h]
         dg[..., : 3 * h] *= SLOPE * ((open_gates > 0) & (open_gates < 1))
         dg[..., 3 * h :] = dc * gi * _slope(raw[i])
-        d_again += hs[i].transpose(0, 2, 1) @ dg
         dc = dc * gf
         dh = dg @ turned
     flat = d_gate.transpose(1, 2, 0, 3).reshape(2, b * t, 4 * h)
-    d["again"] = d_again
+    d["again"] = hs[:-1].transpose(1, 3, 0, 2).reshape(2, h, t * b) @ d_gate.transpose(1, 0, 2, 3).reshape(2, t * b, 4 * h)
     d["bias"] = flat.sum(1, keepdims=True)
     d["into"] = both.reshape(2, b * t, -1).transpose(0, 2, 1) @ flat
     dx = (flat @ m.into.transpose(0, 2, 1)).reshape(2, b, t, -1)
