@@ -216,12 +216,20 @@ class Repairer:
     def __init__(self, log_share: np.ndarray, pairs: list[tuple[str, str]]):
         self.log_share = log_share
         self.pairs = pairs
+        self._gains: dict[tuple[str, str], np.ndarray] = {}
+
+    def gains(self, written: str, read: str) -> np.ndarray:
+        """Per character of ``read``, what its log share gains as that of ``written``, both of one or both of two bytes."""
+        if (written, read) not in self._gains:
+            to = _mapped(written, read)
+            self._gains[written, read] = np.where(to > 0, self.log_share[to] - self.log_share[: len(to)], np.float32(0))
+        return self._gains[written, read]
 
     def score(self, text: str) -> float:
         """Mean log share of the non-ASCII characters; that of plain ASCII is high."""
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         points = points[points > 127]
-        return float(self.log_share[points].mean()) if len(points) else -3.0
+        return float(np.add.reduce(self.log_share[points]) / len(points)) if len(points) else -3.0
 
     def candidates(self, points: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[tuple[str, str], np.ndarray, np.ndarray]]:
         """Per pair, the spans (start, end) that it may have garbled, of single lines and of passages of several."""
@@ -285,9 +293,7 @@ class Repairer:
                 latin = ((before | 32) >= 97) & ((before | 32) <= 122) & (row[np.maximum(pos - 1, 0)] == row[pos]) & (pos > 0)
                 yield (written, read), pos[latin], pos[latin] + 1
             elif bool(_single(written)) == bool(_single(read)):
-                to = _mapped(written, read)[basic]
-                ok = to > 0
-                gain = np.where(ok, self.log_share[to] - own, 0)
+                gain = self.gains(written, read)[basic]
                 start = gain > 2
                 # Groups of gaining characters, with at most two others between them.
                 a, b = _passages(high[start], row, line, 3)
@@ -295,7 +301,9 @@ class Repairer:
                     total = np.concatenate([[0], np.cumsum(gain)])
                     i, j = np.searchsorted(high, a), np.searchsorted(high, b)
                     sums = total[j] - total[i]
-                    good = (sums >= GAIN_SUM) & (sums >= GAIN_MEAN * (j - i)) & np.array([len(np.unique(points[x:y])) > 2 for x, y in zip(a, b)], bool)
+                    good = (sums >= GAIN_SUM) & (sums >= GAIN_MEAN * (j - i))
+                    a, b = a[good], b[good]
+                    good = np.array([len(set(points[x:y].tolist())) > 2 for x, y in zip(a, b)], bool)
                     if read in CYRILLIC:  # capitals within words show it, as the two encodings swap the cases
                         good &= np.array([_SWAPPED.search(points[x:y].tobytes().decode("utf-32-le", "surrogatepass")) is not None for x, y in zip(a, b)], bool)
                     yield (written, read), a[good], b[good]
@@ -309,13 +317,16 @@ class Repairer:
             return None
         if not seen:
             return (out, 20.0) if _LOST in out and written == "utf-8" and lost <= 2 + len(text) // 3 else None
-        gain = self.score("".join(seen)) - self.score(text)
         single = _single(read) is not None
         if written == "utf-8" and single:
             # Well-formed UTF-8 among one-byte characters hardly comes by chance.
-            return (out, gain + 3) if lost <= len(out) // 8 and (gain > -1.5 or len(seen) > 3) else None
+            if lost > len(out) // 8:
+                return None
+            gain = self.score("".join(seen)) - self.score(text)
+            return (out, gain + 3) if gain > -1.5 or len(seen) > 3 else None
         if lost > 1 + len(out) // 4 or (single and len(set(seen)) < 3):
             return None
+        gain = self.score("".join(seen)) - self.score(text)
         known = sum(self.log_share[ord(c)] > KNOWN for c in seen) / len(seen)
         need = GAIN_FORM if single and not _single(written) or written == "utf-8" else GAIN_MEAN
         return (out, gain) if known > 0.8 and gain >= need else None
@@ -394,9 +405,10 @@ def _within(sizes: np.ndarray) -> np.ndarray:
 
 def _odd(text: str) -> bool:
     """Whether ``text`` has control or private characters, which no restored text has."""
-    return any(0x80 <= ord(c) < 0xA0 or (ord(c) < 32 and c not in "\t\r\n") or 0xE000 <= ord(c) < 0xF900 for c in text)
+    return _ODD.search(text) is not None
 
 
+_ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x80-\x9f\ue000-\uf8ff]")
 _SWAPPED = re.compile("[а-яё][А-ЯЁ]{2}")
 _MARKS = re.compile("(?m)(?:^|(?<=\\s))\\?{3,}(?=\\s|\\d|$)|[\ufffd\x80-\x84\x86-\x9f]|锟斤拷|ï¿½")
 
