@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkmill.operators.vectors import top_k_of_each
+from inkmill.sources.tables import materialise
 
 # Words that decide the kind of answer, by falling priority.
 UNSUPPORTED = ["写代码", "编程", "java", "python", "c++", "天气", "股票", "汇率", "现实", "今天", "新闻", "哈利波特", "三体", "金庸", "翻译", "英语", "总结全文"]
@@ -63,12 +64,12 @@ def retrieved(store: DataFrame, scenes: DataFrame, questions: DataFrame, k: int
 
     ``store`` has ``vec_row, novel, version, id, embedding``; ``questions`` has ``query, question, embedding`` and may have
     ``novel`` and ``version``, which limit the search before the best are taken (null or blank ones do not). Vectors
-    without a scene drop out after it; a question without hits has no row.
+    without a scene drop out after it; a question without hits has no row. The search runs once, here; its result is small.
     """
     within = tuple(c for c in ("novel", "version") if c in questions.columns)
     asked = questions.withColumns({c: F.nullif(F.trim(c), F.lit("")) for c in within})
     rows = store.select(F.col("vec_row").alias("row"), "embedding", *within)
-    found = top_k_of_each(rows, asked, k, size, within).select("query", F.col("row").alias("vec_row"), F.col("score").alias("hit_score"))
+    found = materialise(top_k_of_each(rows, asked, k, size, within).select("query", F.col("row").alias("vec_row"), F.col("score").alias("hit_score")), "found")
     hits = hydrate(found.join(store.drop("embedding"), "vec_row"), scenes)
     return hits.join(questions.select("query", "question"), "query")
 

@@ -7,8 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a packed block.
-BLOCK = 2048
+#: Rows and queries of one product of matrices, and rows that a task gathers before it looks at them.
+BLOCK, TOGETHER, HELD = 4096, 256, 1 << 15
+#: Slices the rows of one value of ``within`` are spread over.
+SALT = 4
 
 
 def latest(store: DataFrame, key: str, at: str, row: str) -> DataFrame:
@@ -93,44 +95,150 @@ def top_k_of_each(store: DataFrame, queries: DataFrame, k: int, size: int = 64,
     """``(query, row, score, rank)``: exact top ``k`` of every query vector over all of ``store``.
 
     ``store`` has ``row, embedding``, ``queries`` has ``query, embedding``; unusable vectors take no part. A column of
-    ``within`` limits a query to the rows that have the same there, unless it is null in the query. The queries are the
-    stated set: both sides are packed into blocks, and each pair of blocks becomes at most ``k`` rows a query, of which
-    only the best ``k`` of a partition are shuffled. The store is read once.
+    ``within`` limits a query to the rows that have the same there, unless it is null in the query. Every row of the store
+    is sent to one of ``n`` slices and every query to each of them; a query limited by all columns only to the ``SALT``
+    slices its rows are in. A task holds the queries and sees its rows go by, and at most ``k`` rows a query leave it.
     """
-    kept = [F.xxhash64(c) if c in within else F.lit(0) for c in within]
-    usable = store.where(is_usable(F.col("embedding"), size)).select(F.col("row").cast("bigint").alias("row"), F.col("embedding").cast("array<double>").alias("embedding"), F.array(*[x.cast("bigint") for x in kept]).cast("array<bigint>").alias("own"))
-    asked = queries.where(is_usable(F.col("embedding"), size))
-    asked = asked.select(F.col("query").cast("bigint").alias("row"), F.col("embedding").cast("array<double>").alias("embedding"), F.array(*[F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in within]).cast("array<bigint>").alias("own"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, BLOCK):
-                part = b.slice(at, BLOCK)
-                x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-                own = part.column("own").flatten()
-                free = own.is_null().to_numpy(zero_copy_only=False)
-                fields = [part.column("row").to_numpy(zero_copy_only=False), x / np.sqrt((x * x).sum(1))[:, None], own.fill_null(0).to_numpy(zero_copy_only=False), free]
-                yield pa.RecordBatch.from_arrays([pa.array([f.tobytes()], pa.binary()) for f in fields], names=["rows", "units", "own", "free"])
-
-    packed = "rows binary, units binary, own binary, free binary"
-    few = asked.mapInArrow(pack, packed).select(*[F.col(c).alias(f"q_{c}") for c in ("rows", "units", "own", "free")])
-    pairs = usable.mapInArrow(pack, packed).drop("free").crossJoin(few) if k > 0 else usable.limit(0).mapInArrow(pack, packed).drop("free").crossJoin(few)
+    n = max(16, 2 * store.sparkSession.sparkContext.defaultParallelism)
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALT if within else n))
+    at = lambda keys, salt: F.pmod(F.xxhash64(keys, salt), F.lit(n)) if within else salt
+    usable = store.where(is_usable(F.col("embedding"), size)).select(F.col("row").cast("bigint").alias("row"), "embedding", F.array(*[F.xxhash64(c) for c in within]).cast("array<bigint>").alias("own"))
+    asked = queries.where(is_usable(F.col("embedding"), size)).select(F.col("query").cast("bigint").alias("row"), "embedding", F.array(*[F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in within]).cast("array<bigint>").alias("own"))
+    everywhere = F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")
+    limited = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>"), lambda i: at(F.col("own"), i)))
+    sent = F.when(F.exists("own", lambda x: x.isNull()), everywhere).otherwise(limited) if within else everywhere
+    # Queries come first in each slice.
+    both = asked.withColumn("slice", F.explode(sent)).withColumn("stored", F.lit(False)).unionByName(usable.withColumn("slice", at(F.col("own"), salt)).withColumn("stored", F.lit(True)))
+    sliced = both.where(F.lit(k > 0)).repartitionById(n, F.col("slice").cast("int")).sortWithinPartitions("stored")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, blocks, held, best = [], [], 0, None
+
+        def seen() -> None:
+            nonlocal best, blocks, held
+            if best is None:
+                best = Best(*_joined(queries), k)
+                queries.clear()
+            if held:
+                best.see(*_joined(blocks))
+            blocks, held = [], 0
+
         for b in batches:
-            for r in b.to_pylist():
-                rows, ids = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["q_rows"], np.int64)
-                x, q = np.frombuffer(r["units"]).reshape(-1, size), np.frombuffer(r["q_units"]).reshape(-1, size)
-                score = np.round(q @ x.T, 9)
-                if within:
-                    own, wanted, free = np.frombuffer(r["own"], np.int64).reshape(len(rows), -1), np.frombuffer(r["q_own"], np.int64).reshape(len(ids), -1), np.frombuffer(r["q_free"], bool).reshape(len(ids), -1)
-                    for i in range(len(within)):
-                        score[~free[:, i, None] & (wanted[:, i, None] != own[None, :, i])] = -np.inf
-                who, which = best_of(score, rows, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(rows[which]), pa.array(score[who, which])], names=["query", "row", "score"])
+            stored = b.column("stored").to_numpy(zero_copy_only=False)
+            first = int(np.searchsorted(stored, True))
+            for low, high, into in ((0, first, queries), (first, len(stored), blocks)):
+                if high > low:
+                    into.append(_arrays(b.slice(low, high - low), size))
+            if best is None and not queries:
+                return  # rows that no query looks for
+            held += len(stored) - first
+            if held >= HELD:
+                seen()
+        if queries or held:
+            seen()
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in best.found()], names=["query", "row", "score"])
 
     w = Window.partitionBy("query").orderBy(F.desc("score"), "row")
-    return pairs.mapInArrow(scan, "query bigint, row bigint, score double").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return sliced.select("row", "embedding", "own", "stored").mapInArrow(scan, "query bigint, row bigint, score double").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _arrays(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, ...]:
+    """Rows, vectors at length 1 and own values (0 where free) of a batch, and which are free."""
+    x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64)
+    own = batch.column("own").flatten()
+    shape = (batch.num_rows, len(own) // batch.num_rows)
+    free = own.is_null().to_numpy(zero_copy_only=False).reshape(shape)
+    return batch.column("row").to_numpy(), x / np.sqrt((x * x).sum(1))[:, None], own.fill_null(0).to_numpy(zero_copy_only=False).reshape(shape), free
+
+
+def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+class Best:
+    """The ``k`` best rows of each query among those seen so far.
+
+    Scores are computed in single precision first; what is within their error of a query's k-th best is computed again in
+    double precision and rounded, and of equal scores the smaller row stays, so the result is that of exact scores.
+    """
+
+    def __init__(self, ids: np.ndarray, units: np.ndarray, own: np.ndarray, free: np.ndarray, k: int):
+        self.ids, self.units, self.own, self.free, self.k = ids, units, own, free, k
+        self.short = units.astype(np.float32)
+        # Twice the bound of a single-precision product's error, and what rounding to 9 places may add.
+        self.margin = np.float32(2.2 * (units.shape[1] + 4) * 2.0**-24 + 4e-9)
+        self.least = np.full(len(ids), -np.inf, np.float32)  # what a score in single precision must reach
+        self.kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query's place, row, score
+
+    def see(self, rows: np.ndarray, units: np.ndarray, own: np.ndarray, _: np.ndarray) -> None:
+        short = units.astype(np.float32)
+        new = [self.kept]
+        for mine, theirs in self._groups(own):
+            for low in range(0, len(mine), TOGETHER):
+                who, which = self._near(mine[low : low + TOGETHER], theirs, short)
+                for i in range(0, len(who), 1 << 16):
+                    a, b = who[i : i + (1 << 16)], which[i : i + (1 << 16)]
+                    new.append((a, rows[b], np.round(np.einsum("ij,ij->i", self.units[a], units[b]), 9)))
+        who, which, score = _joined(new)
+        order, nth = _first(who, which, score, self.k)
+        who, which, score = self.kept = who[order], which[order], score[order]
+        last = nth == self.k - 1
+        self.least[who[last]] = np.maximum(self.least[who[last]], score[last].astype(np.float32) - self.margin)
+
+    def _groups(self, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of queries, and of the rows they may find."""
+        if not own.shape[1]:
+            yield np.arange(len(self.ids)), np.arange(len(own))
+            return
+        for form in np.unique(self.free, axis=0):
+            asks = np.flatnonzero((self.free == form).all(1))
+            _, key = np.unique(np.concatenate([self.own[asks], own])[:, ~form], axis=0, return_inverse=True) if not form.all() else (None, np.zeros(len(asks) + len(own), np.int64))
+            mine, theirs = key[: len(asks)], key[len(asks) :]
+            order, turn = np.argsort(theirs, kind="stable"), np.argsort(mine, kind="stable")
+            begins = np.flatnonzero(np.diff(mine[turn], prepend=-1))
+            low, high = (np.searchsorted(theirs[order], mine[turn][begins], side) for side in ("left", "right"))
+            for i in np.flatnonzero(high > low).tolist():
+                yield asks[turn[begins[i] : begins[i + 1] if i + 1 < len(begins) else None]], order[low[i] : high[i]]
+
+    def _near(self, mine: np.ndarray, theirs: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs whose score may be among the ``k`` best."""
+        q, least = self.short[mine], self.least[mine]
+        who, which, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        new, count, low = [], 0, 0
+        while low < len(theirs):
+            high = low + (BLOCK if low else BLOCK // 4)  # few rows first, for a bound
+            part = theirs[low:high]
+            s = q @ (short[part[0] : part[-1] + 1] if part[-1] - part[0] == len(part) - 1 else short[part]).T
+            if self.k < s.shape[1] and not low:
+                edge = np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
+                least = np.maximum(least, edge - self.margin)
+            at = np.flatnonzero(s >= least[:, None])
+            if len(at):
+                new.append((at // s.shape[1], part[at % s.shape[1]], s.ravel()[at]))
+                count += len(at)
+            low = high
+            if count and (count > 2 * self.k * len(mine) or low >= len(theirs)):
+                who, which, score = _joined([(who, which, score), *new])
+                new, count = [], 0
+                order = np.lexsort((-score, who))
+                who, which, score = who[order], which[order], score[order]
+                last = np.arange(len(who)) - np.searchsorted(who, who) == self.k - 1
+                least[who[last]] = np.maximum(least[who[last]], score[last] - self.margin)
+                fit = score >= least[who]
+                who, which, score = who[fit], which[fit], score[fit]
+        return mine[who], which
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        who, which, score = self.kept
+        return self.ids[who], which, score
+
+
+def _first(who: np.ndarray, rows: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ``k`` best scores of each query in order, and how many of its own come before each; ties go to the smaller row."""
+    order = np.lexsort((rows, -score, who))
+    nth = np.arange(len(who)) - np.searchsorted(who[order], who[order])
+    return order[nth < k], nth[nth < k]
 
 
 def best_of(score: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,10 +248,8 @@ def best_of(score: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np
         who, which = np.nonzero((score >= edge) & np.isfinite(score))
     else:
         who, which = np.nonzero(np.isfinite(score))
-    order = np.lexsort((rows[which], -score[who, which], who))
-    who, which = who[order], which[order]
-    nth = np.arange(len(who)) - np.searchsorted(who, who)
-    return who[nth < k], which[nth < k]
+    order, _ = _first(who, rows[which], score[who, which], k)
+    return who[order], which[order]
 
 
 def hashed_embedding(texts: DataFrame, size: int = 64) -> DataFrame:

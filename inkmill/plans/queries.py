@@ -13,7 +13,7 @@ from inkmill.operators import retrieval as R
 from inkmill.operators import scenes as S
 from inkmill.operators import validation as V
 from inkmill.operators import vectors as E
-from inkmill.sources.tables import table
+from inkmill.sources.tables import materialise, table
 
 INSTRUCTION = "Answer only from the context."
 #: Every row whose id is divisible by this is a query against all rows.
@@ -205,9 +205,8 @@ def token_count(s, d):
 _OF_SCENE = ["scene_row", "id", "novel", "version", "chapter_title", "chapter_index", "start_paragraph", "end_paragraph", "text", "word_count", "metadata.characters"]
 
 
-def _asked(s, d) -> DataFrame:
+def _asked(s, d, live: DataFrame) -> DataFrame:
     """Every hundredth scene asks with its chapter's title and its chunk's vector, if that is live."""
-    live = _usable(s, d).select("vec_row", "novel", "version", F.col("chunk_id").alias("id"), "embedding")
     rows = _scenes(s, d).select(*_OF_SCENE).where(F.col("scene_row") % ASK_EVERY == 0)
     return R.hydrate(live, rows).select(F.col("scene_row").alias("query"), F.coalesce("chapter_title", F.lit("")).alias("question"), "embedding", "novel", "version")
 
@@ -218,8 +217,10 @@ def _all_questions(s, d) -> DataFrame:
 
 
 def _hits(s, d, filtered: bool = False) -> DataFrame:
-    live = _usable(s, d).select("vec_row", "novel", "version", F.col("chunk_id").alias("id"), "embedding")
-    asked = _asked(s, d) if filtered else _asked(s, d).drop("novel", "version")
+    # Both are read several times.
+    live = materialise(_usable(s, d).select("vec_row", "novel", "version", F.col("chunk_id").alias("id"), "embedding"), "live")
+    asked = materialise(_asked(s, d, live), "asked")
+    asked = asked if filtered else asked.drop("novel", "version")
     return R.retrieved(live, _scenes(s, d).select(*_OF_SCENE), asked, TOP).withColumn("score", F.col("hit_score"))
 
 

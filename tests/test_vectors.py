@@ -84,3 +84,44 @@ def test_character_ids(spark):
     v = spark.createDataFrame([("a", 1), ("b", 2)], "token string, id int")
     got = {r.doc: r.ids for r in E.character_ids(t, v).collect()}
     assert got[1] == [101, 1, 2, 100, 102] and got[2] == [101, 102] and 3 not in got and len(got[4]) == 512
+
+
+def _is_best(store, asked, got, k):
+    """Whether ``got`` is the exact result for lists of (row, unit vector, own values), None in a query being no limit."""
+    for q, u, wanted in asked:
+        fit = [(r, v) for r, v, own in store if all(w is None or w == o for w, o in zip(wanted, own))]
+        want = sorted((-round(float(u @ v), 9), r) for r, v in fit)[:k]
+        if [(r, -s) for s, r in want] != [(row, score) for query, row, score in got if query == q]:
+            return False
+    return True
+
+
+def test_the_best_of_rows_that_single_precision_cannot_tell_apart():
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal(16)
+    x = centre + rng.standard_normal((9000, 16)) * np.where(rng.random(9000) < 0.5, 1e-4, 1)[:, None]
+    x[5000:5040] = x[17]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = rng.permutation(9000) + 10
+    none, free = np.zeros((9000, 0), np.int64), np.zeros((9000, 0), bool)
+    best = E.Best(rows[:300], x[:300], none[:300], free[:300], 25)
+    for low in (0, 100, 6000):
+        high = {0: 100, 100: 6000, 6000: 9000}[low]
+        best.see(rows[low:high], x[low:high], none[low:high], free[low:high])
+    got = list(zip(*(a.tolist() for a in best.found())))
+    assert _is_best([(r, v, ()) for r, v in zip(rows.tolist(), x)], [(r, v, ()) for r, v in zip(rows[:300].tolist(), x)], got, 25)
+
+
+def test_a_search_sends_no_pairs_of_both_sides_and_keeps_to_limits(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((400, 8)).astype(np.float32)
+    own = [(None if i % 11 == 0 else f"w{i % 3}", f"v{i % 2}") for i in range(400)]
+    store = spark.createDataFrame([(i, v.tolist(), *o) for i, (v, o) in enumerate(zip(x, own))], SCHEMA + ", novel string, version string")
+    asked = [(i, x[i].tolist(), (None, "w1", "w2", "none")[i % 4], (None, "v0", "v1")[i % 3]) for i in range(0, 400, 7)]
+    queries = spark.createDataFrame(asked, "query bigint, embedding array<float>, novel string, version string")
+    found = E.top_k_of_each(store, queries, 6, 8, ("novel", "version"))
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    got = [(r.query, r.row, r.score) for r in found.orderBy("query", "rank").collect()]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    assert _is_best([(i, u[i], own[i]) for i in range(400)], [(q, u[q], (a, b)) for q, _, a, b in asked], got, 6)
