@@ -92,11 +92,12 @@ def within_budget(hits: DataFrame, most_tokens: int = 3000, most: int = 5) -> Da
         return pd.Series([budget_picks(list(t), most_tokens, most) for t in tokens])
 
     counted = hits.withColumn("tokens", T.token_count(F.col("text")))
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "id", "chapter_index", "start_paragraph")
-    ordered = counted.withColumn("place", F.row_number().over(w))
-    picks = ordered.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("place", "tokens"))).alias("x")).withColumn("take", fold(F.col("x.tokens"))).select("query", F.posexplode("take").alias("p", "take")).where("take").select("query", (F.col("p") + 1).alias("place"))
-    kept = ordered.join(picks, ["query", "place"])
-    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("place"))).drop("place")
+    query = Window.partitionBy("query")
+    ordered = counted.withColumn("place", F.row_number().over(query.orderBy(F.desc("score"), "id", "chapter_index", "start_paragraph")))
+    # Every row gets the tokens of its query, so the hits are read once.
+    tokens = F.transform(F.sort_array(F.collect_list(F.struct("place", "tokens")).over(query)), lambda x: x["tokens"])
+    kept = ordered.withColumn("all", tokens).withColumn("take", fold("all")[F.col("place") - 1]).where("take").drop("all", "take")
+    return kept.withColumn("rank", F.row_number().over(query.orderBy("place"))).drop("place")
 
 
 def assembled(hits: DataFrame, longest: int = 900, most_tokens: int = 3000, most: int = 5, rescore: bool = True, merge: bool = True) -> DataFrame:

@@ -131,3 +131,10 @@ def test_retrieval_filters_before_taking_the_best(spark):
     got = sorted((r["query"], r.scene_row) for r in R.retrieved(store, scenes, asked, 2, 2).collect())
     assert got == [(1, 11), (2, 10), (2, 11)]  # the second best of question 1 has no scene
     assert len(R.retrieved(store, scenes, asked.drop("novel", "version"), size=2).where("query = 1").collect()) == 3
+
+
+def test_the_budget_reads_its_hits_once(spark):
+    h = spark.createDataFrame([(1, "a", "x" * 40, 0.5, 1, 1), (1, "b", "x" * 2000, 0.9, 1, 2), (1, "c", "x" * 10, 0.7, 1, 3)], "query int, id string, text string, score double, chapter_index int, start_paragraph int")
+    kept = X.within_budget(h, 90)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    assert sorted((r.rank, r.id, r.tokens) for r in kept.collect()) == [(1, "c", 15), (2, "a", 60)]
