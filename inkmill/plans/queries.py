@@ -273,10 +273,10 @@ def refusals(s, d):
     return A.with_refusals(_all_questions(s, d), _blocks(s, d)).select("query", "answer.answer", F.size("answer.citations").alias("n_citations"), "answer.confidence")
 
 
-def _written(s, d) -> DataFrame:
+def _written(blocks: DataFrame) -> DataFrame:
     """``(query, raw)``: texts about the questions and their blocks in the forms answers come in, one of seven a question."""
     item = F.struct(F.col("rank"), F.col("id").alias("chunkId"), F.round("score", 6).alias("score"))
-    g = _blocks(s, d).groupBy("query").agg(F.first("question").alias("question"), F.sort_array(F.collect_list(item)).alias("b"))
+    g = blocks.groupBy("query").agg(F.first("question").alias("question"), F.sort_array(F.collect_list(item)).alias("b"))
     cite = F.transform("b", lambda x: F.struct(x["chunkId"].alias("chunkId"), x["score"].alias("score")))
     q = F.col("question")
     forms = [
@@ -294,21 +294,22 @@ def _written(s, d) -> DataFrame:
 
 def answer_parse(s, d):
     """Answers in several forms read back; why the others have none."""
-    return _written(s, d).select("query", A.parsed(F.col("raw")).alias("a"), A.failure(F.col("raw")).alias("failure")).select("query", "a.answer", F.size("a.citations").alias("n_citations"), "a.confidence", "failure")
+    return _written(_blocks(s, d)).select("query", A.parsed(F.col("raw")).alias("a"), A.failure(F.col("raw")).alias("failure")).select("query", "a.answer", F.size("a.citations").alias("n_citations"), "a.confidence", "failure")
 
 
 def answer_repair(s, d):
     """Answers read as they are, with nulls, and repaired."""
     a = F.from_json(F.regexp_extract("raw", r"(?s)(\{.*\})", 1), A.ANSWER)
-    got = _written(s, d).where(F.contains("raw", F.lit("{"))).select("query", A.repaired(a).alias("a"))
+    got = _written(_blocks(s, d)).where(F.contains("raw", F.lit("{"))).select("query", A.repaired(a).alias("a"))
     return got.select("query", "a.answer", F.size("a.citations").alias("n_citations"), "a.confidence")
 
 
 def citation_check(s, d):
     """Of the chunks that answers cite, those among the question's blocks; every hundredth scene's chunk is cited as well."""
-    blocks = _blocks(s, d)
+    # Read for the texts and for the check.
+    blocks = materialise(_blocks(s, d).select("query", "question", "rank", "id", "score"), "blocks")
     own = _scenes(s, d).select(F.col("scene_row").alias("query"), "id")
-    read = _written(s, d).select("query", A.parsed(F.col("raw")).alias("answer")).join(own, "query")
+    read = _written(blocks).select("query", A.parsed(F.col("raw")).alias("answer")).join(own, "query")
     extra = F.array(F.struct(F.col("id").alias("chunkId"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("double").alias("score")))
     answers = read.select("query", F.struct(F.concat("answer.citations", extra).alias("citations")).alias("answer"))
     return A.checked_citations(answers, blocks).select("query", "n", "id", F.round("score", 6).alias("score"))

@@ -138,3 +138,14 @@ def test_the_budget_reads_its_hits_once(spark):
     kept = X.within_budget(h, 90)
     assert kept._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
     assert sorted((r.rank, r.id, r.tokens) for r in kept.collect()) == [(1, "c", 15), (2, "a", 60)]
+
+
+def _plan(spark, name):
+    """The plan of a query, made after what it writes on the way."""
+    from inkmill.plans.queries import QUERIES
+
+    return QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_citation_check_assembles_its_blocks_once(spark):
+    assert "ArrowEvalPython" not in _plan(spark, "citation_check")
