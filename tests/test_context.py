@@ -149,3 +149,12 @@ def _plan(spark, name):
 
 def test_citation_check_assembles_its_blocks_once(spark):
     assert "ArrowEvalPython" not in _plan(spark, "citation_check")
+
+
+SEARCHED = ["answer_parse"]
+
+
+@pytest.mark.parametrize("name", SEARCHED)
+def test_queries_on_hits_neither_search_again_nor_pair_blocks(spark, name):
+    plan = _plan(spark, name)
+    assert not any(x in plan for x in ("MapInArrow", "NestedLoop", "CartesianProduct"))
