@@ -151,7 +151,7 @@ def test_citation_check_assembles_its_blocks_once(spark):
     assert "ArrowEvalPython" not in _plan(spark, "citation_check")
 
 
-SEARCHED = ["answer_parse", "dedupe", "refusals"]
+SEARCHED = ["answer_parse", "dedupe", "refusals", "retrieve_filtered"]
 
 
 @pytest.mark.parametrize("name", SEARCHED)
