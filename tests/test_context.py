@@ -151,7 +151,7 @@ def test_citation_check_assembles_its_blocks_once(spark):
     assert "ArrowEvalPython" not in _plan(spark, "citation_check")
 
 
-SEARCHED = ["answer_parse", "dedupe", "refusals", "retrieve_filtered", "answer_repair", "context_full_text", "merge_adjacent", "rescore", "context_stats"]
+SEARCHED = ["answer_parse", "dedupe", "refusals", "retrieve_filtered", "answer_repair", "context_full_text", "merge_adjacent", "rescore", "context_stats", "prompt_text"]
 
 
 @pytest.mark.parametrize("name", SEARCHED)
