@@ -21,12 +21,12 @@ def rescored(hits: DataFrame, enabled: bool = True) -> DataFrame:
     if not enabled:
         return hits.withColumn("score", base)
     text = F.coalesce("text", F.lit(""))
-    words = T.keywords(F.col("question"))
+    words = F.col("_words")  # made once a hit
     found = F.least(F.lit(0.1) * F.size(F.filter(words, lambda k: F.contains(text, k))), F.lit(1.0))
     names = F.coalesce("characters", F.array().cast("array<string>"))
     near = F.aggregate(names, F.lit(0), lambda s, c: s + F.size(F.filter(words, lambda k: F.contains(c, k) | F.contains(k, c))))
     score = F.lit(0.6) * base + F.lit(0.2) * found + F.lit(0.2) * F.least(F.lit(0.1) * near, F.lit(1.0)) - F.lit(0.0001) * F.greatest(F.length(text) - 2000, F.lit(0))
-    return hits.withColumn("score", F.round(F.greatest(score, F.lit(0.0)), 9))
+    return hits.withColumn("_words", T.keywords(F.col("question"))).withColumn("score", F.round(F.greatest(score, F.lit(0.0)), 9)).drop("_words")
 
 
 def deduplicated(hits: DataFrame) -> DataFrame:

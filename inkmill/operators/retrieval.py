@@ -70,8 +70,8 @@ def retrieved(store: DataFrame, scenes: DataFrame, questions: DataFrame, k: int
     asked = questions.withColumns({c: F.nullif(F.trim(c), F.lit("")) for c in within})
     rows = store.select(F.col("vec_row").alias("row"), "embedding", *within)
     found = materialise(top_k_of_each(rows, asked, k, size, within).select("query", F.col("row").alias("vec_row"), F.col("score").alias("hit_score")), "found")
-    hits = hydrate(found.join(store.drop("embedding"), "vec_row"), scenes)
-    return hits.join(questions.select("query", "question"), "query")
+    # Texts come last, so they are shuffled once.
+    return hydrate(found.join(store.drop("embedding"), "vec_row").join(questions.select("query", "question"), "query"), scenes)
 
 
 def within_chapters(scenes: DataFrame, first: int | None = None, last: int | None = None, role: str | None = None) -> DataFrame:

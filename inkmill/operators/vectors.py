@@ -99,7 +99,8 @@ def top_k_of_each(store: DataFrame, queries: DataFrame, k: int, size: int = 64,
     is sent to one of ``n`` slices and every query to each of them; a query limited by all columns only to the ``SALT``
     slices its rows are in. A task holds the queries and sees its rows go by, and at most ``k`` rows a query leave it.
     """
-    n = max(16, 2 * store.sparkSession.sparkContext.defaultParallelism)
+    cores = store.sparkSession.sparkContext.defaultParallelism
+    n = cores * max(2, -(-16 // cores))  # so many that no core waits for others at the end
     salt = F.pmod(F.xxhash64("row"), F.lit(SALT if within else n))
     at = lambda keys, salt: F.pmod(F.xxhash64(keys, salt), F.lit(n)) if within else salt
     usable = store.where(is_usable(F.col("embedding"), size)).select(F.col("row").cast("bigint").alias("row"), "embedding", F.array(*[F.xxhash64(c) for c in within]).cast("array<bigint>").alias("own"))
@@ -213,7 +214,7 @@ class Best:
             if self.k < s.shape[1] and not low:
                 edge = np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
                 least = np.maximum(least, edge - self.margin)
-            at = np.flatnonzero(s >= least[:, None])
+            at = _few(s >= least[:, None])
             if len(at):
                 new.append((at // s.shape[1], part[at % s.shape[1]], s.ravel()[at]))
                 count += len(at)
@@ -234,6 +235,15 @@ class Best:
         return self.ids[who], which, score
 
 
+def _few(mask: np.ndarray) -> np.ndarray:
+    """Places of the few True of a mask: eight are looked at together first."""
+    flat = mask.ravel()
+    n = len(flat) // 8 * 8
+    eight = np.flatnonzero(flat[:n].view(np.uint64))
+    which, place = np.nonzero(flat[:n].reshape(-1, 8)[eight])
+    return np.concatenate([eight[which] * 8 + place, n + np.flatnonzero(flat[n:])])
+
+
 def _first(who: np.ndarray, rows: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the ``k`` best scores of each query in order, and how many of its own come before each; ties go to the smaller row."""
     order = np.lexsort((rows, -score, who))

@@ -158,3 +158,7 @@ SEARCHED = ["answer_parse", "dedupe", "refusals", "retrieve_filtered", "answer_r
 def test_queries_on_hits_neither_search_again_nor_pair_blocks(spark, name):
     plan = _plan(spark, name)
     assert not any(x in plan for x in ("MapInArrow", "NestedLoop", "CartesianProduct"))
+
+
+def test_rescore_makes_its_keywords_once(spark):
+    assert _plan(spark, "rescore").count("regexp_extract_all") == 2

@@ -125,3 +125,9 @@ def test_a_search_sends_no_pairs_of_both_sides_and_keeps_to_limits(spark):
     got = [(r.query, r.row, r.score) for r in found.orderBy("query", "rank").collect()]
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     assert _is_best([(i, u[i], own[i]) for i in range(400)], [(q, u[q], (a, b)) for q, _, a, b in asked], got, 6)
+
+
+@pytest.mark.parametrize("shape", [(3, 8), (5, 7), (1, 3), (4, 0)])
+def test_places_of_a_mask(shape):
+    mask = np.random.default_rng(2).random(shape) < 0.3
+    assert E._few(mask).tolist() == np.flatnonzero(mask).tolist()
