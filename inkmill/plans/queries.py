@@ -207,8 +207,11 @@ _OF_SCENE = ["scene_row", "id", "novel", "version", "chapter_title", "chapter_in
 
 def _asked(s, d, live: DataFrame) -> DataFrame:
     """Every hundredth scene asks with its chapter's title and its chunk's vector, if that is live."""
-    rows = _scenes(s, d).select(*_OF_SCENE).where(F.col("scene_row") % ASK_EVERY == 0)
-    return R.hydrate(live, rows).select(F.col("scene_row").alias("query"), F.coalesce("chapter_title", F.lit("")).alias("question"), "embedding", "novel", "version")
+    key = ["novel", "version", "id"]
+    row = F.struct(F.col("scene_row").alias("query"), F.coalesce("chapter_title", F.lit("")).alias("question"))
+    # Few rows, so each is picked by its key before the vectors come in; of several with one key the first asks.
+    rows = _scenes(s, d).where(F.col("scene_row") % ASK_EVERY == 0).groupBy(*key).agg(F.min(row).alias("row"))
+    return live.join(rows, key).select("row.query", "row.question", "embedding", "novel", "version")
 
 
 def _all_questions(s, d) -> DataFrame:

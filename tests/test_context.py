@@ -162,3 +162,11 @@ def test_queries_on_hits_neither_search_again_nor_pair_blocks(spark, name):
 
 def test_rescore_makes_its_keywords_once(spark):
     assert _plan(spark, "rescore").count("regexp_extract_all") == 2
+
+
+def test_questions_are_picked_before_their_vectors(spark):
+    from inkmill.plans import queries as Q
+
+    d = "/root/testdata/sf0.001"
+    live = Q._usable(spark, d).select("vec_row", "novel", "version", F.col("chunk_id").alias("id"), "embedding")
+    assert Q._asked(spark, d, live)._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
