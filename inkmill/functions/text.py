@@ -31,7 +31,12 @@ def tail(text: Column, n: int) -> Column:
 
 def token_count(text: Column, per_char: float = 1.5) -> Column:
     """Estimated tokens, 0 for null or empty text."""
-    return F.coalesce(F.ceil(F.length(text) * F.lit(per_char)), F.lit(0)).cast("int")
+    return tokens_of(F.length(text), per_char)
+
+
+def tokens_of(size: Column, per_char: float = 1.5) -> Column:
+    """Estimated tokens of a text of so many characters."""
+    return F.coalesce(F.ceil(size * F.lit(per_char)), F.lit(0)).cast("int")
 
 
 def web_token_estimate(text: Column) -> Column:

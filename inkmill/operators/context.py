@@ -29,6 +29,11 @@ def rescored(hits: DataFrame, enabled: bool = True) -> DataFrame:
     return hits.withColumn("_words", T.keywords(F.col("question"))).withColumn("score", F.round(F.greatest(score, F.lit(0.0)), 9)).drop("_words")
 
 
+def sized(hits: DataFrame) -> DataFrame:
+    """Scored hits with the ``size`` of their texts in place of these, for results without texts."""
+    return hits.withColumn("size", F.length(F.coalesce("text", F.lit("")))).drop("text")
+
+
 def deduplicated(hits: DataFrame) -> DataFrame:
     """The best-scored hit of each id (without one: of each place) per query; of equal scores the first in the text."""
     key = F.coalesce("id", F.concat_ws("_", "chapter_index", "start_paragraph"))
@@ -64,23 +69,28 @@ def budget_picks(tokens: list[int], most_tokens: int, most: int) -> list[bool]:
 def merged(hits: DataFrame, longest: int = 900, enabled: bool = True) -> DataFrame:
     """Neighbours of one work and chapter as one row: first id, texts joined, best score, ``merged_ids``.
 
-    Hits are put in order by work first, so scenes of other works in between do not part neighbours.
+    Hits are put in order by work first, so scenes of other works in between do not part neighbours. ``sized`` hits give
+    the ``size`` of the joined text in place of it; where hits have ``scene_row``, ``members`` has those of a row in order.
     """
-    item = F.struct(F.concat_ws("|", "novel", "version").alias("work"), "chapter_index", "start_paragraph", "id", "end_paragraph", "text", "word_count", "score", "chapter_title", "novel", "version")
+    rows = [c for c in ("scene_row",) if c in hits.columns]
+    body = "size" if "text" not in hits.columns else "text"
+    item = F.struct(F.concat_ws("|", "novel", "version").alias("work"), "chapter_index", "start_paragraph", "id", "end_paragraph", body, "word_count", "score", "chapter_title", "novel", "version", *rows)
+    n = lambda x: x["size"] if body == "size" else F.length(F.coalesce(x["text"], F.lit("")))
 
     @F.pandas_udf("array<int>")
     def fold(work: pd.Series, chapter: pd.Series, start: pd.Series, end: pd.Series, size: pd.Series) -> pd.Series:
         return pd.Series([merge_numbers(list(a), list(b), list(c), list(d), list(e), longest) for a, b, c, d, e in zip(work, chapter, start, end, size)])
 
     lists = hits.groupBy("query").agg(F.first("question").alias("question"), F.sort_array(F.collect_list(item)).alias("x"))
-    numbers = fold(F.col("x.work"), F.col("x.chapter_index"), F.col("x.start_paragraph"), F.col("x.end_paragraph"), F.transform("x", lambda x: F.length(F.coalesce(x["text"], F.lit("")))))
+    numbers = fold(F.col("x.work"), F.col("x.chapter_index"), F.col("x.start_paragraph"), F.col("x.end_paragraph"), F.transform("x", n))
     group = numbers if enabled else F.sequence(F.lit(0), F.size("x") - 1)
     flat = lists.withColumn("g", group).select("query", "question", F.explode(F.arrays_zip("x", "g")).alias("z")).select("query", "question", "z.x.*", F.col("z.g").alias("g"))
-    inner = F.sort_array(F.collect_list(F.struct("start_paragraph", "id", "end_paragraph", "text")))
+    inner = F.sort_array(F.collect_list(F.struct("start_paragraph", "id", "end_paragraph", body, *rows)))
     out = flat.groupBy("query", "g").agg(F.first("question").alias("question"), inner.alias("m"), F.min("chapter_index").alias("chapter_index"), F.min("chapter_title").alias("chapter_title"), F.sum("word_count").alias("word_count"), F.max("score").alias("score"), F.min("novel").alias("novel"), F.min("version").alias("version"))
+    joined = F.array_join(F.transform("m", lambda x: F.coalesce(x["text"], F.lit(""))), SEPARATOR) if body == "text" else F.aggregate("m", F.lit(-len(SEPARATOR)), lambda t, x: t + F.lit(len(SEPARATOR)) + x["size"])
     return out.select(
         "query", "question", F.col("m")[0]["id"].alias("id"), "novel", "version", "chapter_index", "chapter_title", F.col("m")[0]["start_paragraph"].alias("start_paragraph"), F.element_at("m", -1)["end_paragraph"].alias("end_paragraph"),
-        F.array_join(F.transform("m", lambda x: F.coalesce(x["text"], F.lit(""))), SEPARATOR).alias("text"), "word_count", "score", F.when(F.size("m") > 1, "merged_scene").otherwise("scene").alias("chunk_type"), F.transform("m", lambda x: x["id"]).alias("merged_ids"),
+        joined.alias(body), "word_count", "score", F.when(F.size("m") > 1, "merged_scene").otherwise("scene").alias("chunk_type"), F.transform("m", lambda x: x["id"]).alias("merged_ids"), *[F.transform("m", lambda x: x[c]).alias("members") for c in rows],
     )
 
 
@@ -91,7 +101,7 @@ def within_budget(hits: DataFrame, most_tokens: int = 3000, most: int = 5) -> Da
     def fold(tokens: pd.Series) -> pd.Series:
         return pd.Series([budget_picks(list(t), most_tokens, most) for t in tokens])
 
-    counted = hits.withColumn("tokens", T.token_count(F.col("text")))
+    counted = hits.withColumn("tokens", T.token_count(F.col("text")) if "text" in hits.columns else T.tokens_of(F.col("size")))
     query = Window.partitionBy("query")
     ordered = counted.withColumn("place", F.row_number().over(query.orderBy(F.desc("score"), "id", "chapter_index", "start_paragraph")))
     # Every row gets the tokens of its query, so the hits are read once.
@@ -105,6 +115,14 @@ def assembled(hits: DataFrame, longest: int = 900, most_tokens: int = 3000, most
     return within_budget(merged(deduplicated(rescored(hits, rescore)), longest, merge), most_tokens, most)
 
 
+def with_texts(blocks: DataFrame, scenes: DataFrame) -> DataFrame:
+    """``sized`` blocks with the ``text`` of their ``members``, looked up in ``scenes(scene_row, text)``; blocks are read twice."""
+    parts = blocks.select("query", "rank", F.posexplode("members").alias("nth", "scene_row")).join(scenes.select("scene_row", "text"), "scene_row")
+    each = F.sort_array(F.collect_list(F.struct("nth", F.coalesce("text", F.lit("")).alias("text"))))
+    texts = parts.groupBy("query", "rank").agg(F.array_join(F.transform(each, lambda x: x["text"]), SEPARATOR).alias("text"))
+    return blocks.drop("members").join(texts, ["query", "rank"])
+
+
 def full_text(blocks: DataFrame) -> DataFrame:
     """``(query, context, total_tokens, n_blocks)``: blocks in document order as ``[id] content`` lines."""
     item = F.struct("chapter_index", "start_paragraph", "id", "text")

@@ -248,6 +248,11 @@ def merge_adjacent(s, d):
     return X.merged(X.deduplicated(X.rescored(_hits(s, d)))).select("query", "id", "chapter_index", "start_paragraph", "end_paragraph", "chunk_type", "merged_ids", F.length("text").alias("n_chars"))
 
 
+def _text_free(s, d) -> DataFrame:
+    """The blocks with the sizes of their texts: once hits are scored, no text is sent or sorted."""
+    return X.within_budget(X.merged(X.deduplicated(X.sized(X.rescored(_hits(s, d))))))
+
+
 def _blocks(s, d) -> DataFrame:
     return X.assembled(_hits(s, d))
 
@@ -273,7 +278,7 @@ def prompt_text(s, d):
 
 def refusals(s, d):
     """What is said to the questions without context."""
-    return A.with_refusals(_all_questions(s, d), _blocks(s, d)).select("query", "answer.answer", F.size("answer.citations").alias("n_citations"), "answer.confidence")
+    return A.with_refusals(_all_questions(s, d), _text_free(s, d)).select("query", "answer.answer", F.size("answer.citations").alias("n_citations"), "answer.confidence")
 
 
 def _written(blocks: DataFrame) -> DataFrame:

@@ -170,3 +170,22 @@ def test_questions_are_picked_before_their_vectors(spark):
     d = "/root/testdata/sf0.001"
     live = Q._usable(spark, d).select("vec_row", "novel", "version", F.col("chunk_id").alias("id"), "embedding")
     assert Q._asked(spark, d, live)._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+
+
+def test_blocks_without_texts_are_those_with_them(spark):
+    rng = random.Random(7)
+    rows = [{"id": f"s{i}", "ch": i // 12, "start": 3 * (i % 12), "end": 3 * (i % 12) + 2, "text": "x" * rng.randint(0, 400) if i % 9 else None, "score": rng.random()} for i in range(60)]
+    h = hits(spark, *rows).withColumn("scene_row", F.substring("id", 2, 9).cast("bigint"))
+    want = X.assembled(h, rescore=False).drop("members")
+    kept = X.within_budget(X.merged(X.deduplicated(X.sized(h))))
+    assert "text" not in kept.columns and any(len(r.members) > 1 for r in kept.collect())
+    got = X.with_texts(kept, h.select("scene_row", "text"))
+    assert sorted(map(str, got.drop("size").select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+FREE = ["refusals"]
+
+
+@pytest.mark.parametrize("name", FREE)
+def test_no_text_is_gathered_for_results_without_texts(spark, name):
+    assert "text, text#" not in _plan(spark, name)
