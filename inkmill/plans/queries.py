@@ -302,7 +302,7 @@ def _written(blocks: DataFrame) -> DataFrame:
 
 def answer_parse(s, d):
     """Answers in several forms read back; why the others have none."""
-    return _written(_blocks(s, d)).select("query", A.parsed(F.col("raw")).alias("a"), A.failure(F.col("raw")).alias("failure")).select("query", "a.answer", F.size("a.citations").alias("n_citations"), "a.confidence", "failure")
+    return _written(_text_free(s, d)).select("query", A.parsed(F.col("raw")).alias("a"), A.failure(F.col("raw")).alias("failure")).select("query", "a.answer", F.size("a.citations").alias("n_citations"), "a.confidence", "failure")
 
 
 def answer_repair(s, d):
