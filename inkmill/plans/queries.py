@@ -308,7 +308,7 @@ def answer_parse(s, d):
 def answer_repair(s, d):
     """Answers read as they are, with nulls, and repaired."""
     a = F.from_json(F.regexp_extract("raw", r"(?s)(\{.*\})", 1), A.ANSWER)
-    got = _written(_blocks(s, d)).where(F.contains("raw", F.lit("{"))).select("query", A.repaired(a).alias("a"))
+    got = _written(_text_free(s, d)).where(F.contains("raw", F.lit("{"))).select("query", A.repaired(a).alias("a"))
     return got.select("query", "a.answer", F.size("a.citations").alias("n_citations"), "a.confidence")
 
 
