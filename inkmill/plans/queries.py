@@ -245,7 +245,7 @@ def dedupe(s, d):
 
 
 def merge_adjacent(s, d):
-    return X.merged(X.deduplicated(X.rescored(_hits(s, d)))).select("query", "id", "chapter_index", "start_paragraph", "end_paragraph", "chunk_type", "merged_ids", F.length("text").alias("n_chars"))
+    return X.merged(X.deduplicated(X.sized(X.rescored(_hits(s, d))))).select("query", "id", "chapter_index", "start_paragraph", "end_paragraph", "chunk_type", "merged_ids", F.col("size").alias("n_chars"))
 
 
 def _text_free(s, d) -> DataFrame:
