@@ -266,8 +266,9 @@ def context_full_text(s, d):
 
 
 def context_stats(s, d):
-    hits = _hits(s, d)
-    joined = X.merged(X.deduplicated(X.rescored(hits)))
+    # Counted three times, so written once, without texts.
+    hits = materialise(X.sized(X.rescored(_hits(s, d))).drop("characters", "vec_row", "scene_row"), "hits")
+    joined = X.merged(X.deduplicated(hits))
     return X.stage_counts(hits, joined, X.within_budget(joined))
 
 

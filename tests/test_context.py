@@ -183,7 +183,7 @@ def test_blocks_without_texts_are_those_with_them(spark):
     assert sorted(map(str, got.drop("size").select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
 
-FREE = ["answer_parse", "answer_repair", "refusals", "merge_adjacent"]
+FREE = ["answer_parse", "answer_repair", "refusals", "merge_adjacent", "context_stats"]
 
 
 @pytest.mark.parametrize("name", FREE)
