@@ -254,11 +254,12 @@ def _text_free(s, d) -> DataFrame:
 
 
 def _blocks(s, d) -> DataFrame:
-    return X.assembled(_hits(s, d))
+    """The blocks with their texts: those of the blocks alone are looked up, not those of all hits carried along."""
+    return X.with_texts(materialise(_text_free(s, d), "blocks"), _scenes(s, d))
 
 
 def context_blocks(s, d):
-    return _blocks(s, d).select("query", "rank", "id", "chapter_index", "start_paragraph", "tokens", F.round("score", 6).alias("score"))
+    return _text_free(s, d).select("query", "rank", "id", "chapter_index", "start_paragraph", "tokens", F.round("score", 6).alias("score"))
 
 
 def context_full_text(s, d):
@@ -316,7 +317,7 @@ def answer_repair(s, d):
 def citation_check(s, d):
     """Of the chunks that answers cite, those among the question's blocks; every hundredth scene's chunk is cited as well."""
     # Read for the texts and for the check.
-    blocks = materialise(_blocks(s, d).select("query", "question", "rank", "id", "score"), "blocks")
+    blocks = materialise(_text_free(s, d).select("query", "question", "rank", "id", "score"), "blocks")
     own = _scenes(s, d).select(F.col("scene_row").alias("query"), "id")
     read = _written(blocks).select("query", A.parsed(F.col("raw")).alias("answer")).join(own, "query")
     extra = F.array(F.struct(F.col("id").alias("chunkId"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("double").alias("score")))

@@ -183,9 +183,14 @@ def test_blocks_without_texts_are_those_with_them(spark):
     assert sorted(map(str, got.drop("size").select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
 
-FREE = ["answer_parse", "answer_repair", "refusals", "merge_adjacent", "context_stats"]
+FREE = ["answer_parse", "answer_repair", "refusals", "merge_adjacent", "context_stats", "context_blocks"]
 
 
 @pytest.mark.parametrize("name", FREE)
 def test_no_text_is_gathered_for_results_without_texts(spark, name):
     assert "text, text#" not in _plan(spark, name)
+
+
+@pytest.mark.parametrize("name", ["context_full_text"])
+def test_texts_are_looked_up_for_blocks_alone(spark, name):
+    assert "characters" not in _plan(spark, name)  # hits are scored before
