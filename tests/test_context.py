@@ -191,6 +191,6 @@ def test_no_text_is_gathered_for_results_without_texts(spark, name):
     assert "text, text#" not in _plan(spark, name)
 
 
-@pytest.mark.parametrize("name", ["context_full_text"])
+@pytest.mark.parametrize("name", ["context_full_text", "prompt_text"])
 def test_texts_are_looked_up_for_blocks_alone(spark, name):
     assert "characters" not in _plan(spark, name)  # hits are scored before
