@@ -88,3 +88,14 @@ def test_digits_are_read_by_the_length_of_their_run():
     got = pii.read(points, np.array([0, 7])).tolist()
     assert got == [97, pii.RUNS + 2, pii.RUNS + 2, 98, *[pii.RUNS + 3] * 3]
     assert pii.read(points, np.array([0, 2, 7]))[1] == pii.RUNS + 1
+
+
+def test_numbers_of_fifteen_digits_and_family_names_are_drawn():
+    v = pii_labels.Values(np.random.default_rng(7))
+    assert any(re.fullmatch(r"\d{15}", v.id("zh")) for _ in range(200))
+    assert not set("温简荆桑仇游阎郗覃佟") - {v.person("zh")[0] for _ in range(20_000)}
+
+
+@pytest.mark.parametrize("line", ["Dank an Hedwig Auerbach sagt das ganze Haus.", "Bring it back to 205 Alder Row, Ashby.", "Leave it at 39b Fen Street.", "Wir sind im Lindenweg 7 zu finden."])
+def test_lines_that_may_hold_values_are_not_taught_as_free_of_them(line):
+    assert pii_labels.cues().search(line)
