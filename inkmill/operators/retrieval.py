@@ -70,8 +70,11 @@ def retrieved(store: DataFrame, scenes: DataFrame, questions: DataFrame, k: int
     asked = questions.withColumns({c: F.nullif(F.trim(c), F.lit("")) for c in within})
     rows = store.select(F.col("vec_row").alias("row"), "embedding", *within)
     found = materialise(top_k_of_each(rows, asked, k, size, within).select("query", F.col("row").alias("vec_row"), F.col("score").alias("hit_score")), "found")
+    # What is found is joined by narrow rows, once; of several scenes with one key the first counts, as in ``hydrate``.
+    first = scenes.select(*_KEY, "scene_row").groupBy(*_KEY).agg(F.min("scene_row").alias("scene_row"))
+    placed = found.join(store.select("vec_row", *_KEY), "vec_row").join(first, _KEY).drop(*_KEY)
     # Texts come last, so they are shuffled once.
-    return hydrate(found.join(store.drop("embedding"), "vec_row").join(questions.select("query", "question"), "query"), scenes)
+    return placed.join(questions.select("query", "question"), "query").join(scenes, "scene_row")
 
 
 def within_chapters(scenes: DataFrame, first: int | None = None, last: int | None = None, role: str | None = None) -> DataFrame:

@@ -194,3 +194,8 @@ def test_no_text_is_gathered_for_results_without_texts(spark, name):
 @pytest.mark.parametrize("name", ["context_full_text", "prompt_text"])
 def test_texts_are_looked_up_for_blocks_alone(spark, name):
     assert "characters" not in _plan(spark, name)  # hits are scored before
+
+
+def test_what_is_found_is_placed_by_one_join(spark):
+    # What is found, the store, the questions, and the scenes by their keys and by their rows.
+    assert _plan(spark, "dedupe").count("FileScan parquet") == 5
