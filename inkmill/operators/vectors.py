@@ -91,6 +91,11 @@ def top_k(store: DataFrame, query: list[float], k: int, vector: str = "embedding
     return store.select(row, score.alias("score")).orderBy(F.desc("score"), row).limit(max(k, 0))
 
 
+def slices(cores: int, limited: bool) -> int:
+    """A multiple of ``cores``, so no core waits for others at the end. Every slice gives ``k`` rows a query and learns each bound anew, so slices of one size are few; those of limited queries differ in size."""
+    return cores * (max(2, -(-16 // cores)) if limited else -(-12 // cores))
+
+
 def top_k_of_each(store: DataFrame, queries: DataFrame, k: int, size: int = 64, within: tuple[str, ...] = ()) -> DataFrame:
     """``(query, row, score, rank)``: exact top ``k`` of every query vector over all of ``store``.
 
@@ -100,7 +105,7 @@ def top_k_of_each(store: DataFrame, queries: DataFrame, k: int, size: int = 64,
     slices its rows are in. A task holds the queries and sees its rows go by, and at most ``k`` rows a query leave it.
     """
     cores = store.sparkSession.sparkContext.defaultParallelism
-    n = cores * max(2, -(-16 // cores))  # so many that no core waits for others at the end
+    n = slices(cores, bool(within))
     salt = F.pmod(F.xxhash64("row"), F.lit(SALT if within else n))
     at = lambda keys, salt: F.pmod(F.xxhash64(keys, salt), F.lit(n)) if within else salt
     usable = store.where(is_usable(F.col("embedding"), size)).select(F.col("row").cast("bigint").alias("row"), "embedding", F.array(*[F.xxhash64(c) for c in within]).cast("array<bigint>").alias("own"))

@@ -131,3 +131,8 @@ def test_a_search_sends_no_pairs_of_both_sides_and_keeps_to_limits(spark):
 def test_places_of_a_mask(shape):
     mask = np.random.default_rng(2).random(shape) < 0.3
     assert E._few(mask).tolist() == np.flatnonzero(mask).tolist()
+
+
+@pytest.mark.parametrize("cores, limited, want", [(6, False, 12), (8, False, 16), (24, False, 24), (2, False, 12), (6, True, 18), (24, True, 48)])
+def test_slices_of_one_size_are_few(cores, limited, want):
+    assert E.slices(cores, limited) == want
